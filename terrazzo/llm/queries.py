@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, hosts, language, quality, substring_dedup, suffix_dedup, toxicity
 from .common import read
 
 
@@ -17,14 +17,27 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_quality(read(spark, sf_dir, "documents"), quality.grades_of(read(spark, sf_dir, "labels")))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_strings(read(spark, sf_dir, "documents"))
 
 
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return hosts.judge(pages, hosts.outcomes_by_document(pages, read(spark, sf_dir, "labels")), hosts.RULES)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,8 +52,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_url_reputation": op5_url_reputation,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_substring_dedup": op10_substring_dedup,
