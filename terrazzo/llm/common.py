@@ -154,3 +154,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, n), out=total[1:])
     return mix((total[ends] - total[starts]) * powers(_P_INV, n + 1)[starts])
 
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n_rows: str, share: float = 0.001) -> DataFrame:
+    """Inner join of ``rows`` with one row per ``key`` of ``table``, even if one key has most of the rows.
+
+    ``n_rows`` is the column of ``table`` with the number of rows of a key. Keys with
+    more than ``share`` of all rows (fewer than 1 / share of them) are joined by
+    broadcast, the others by shuffle. ``table`` should be staged.
+    """
+    total = table.agg(F.sum(n_rows)).first()[0] or 0
+    hot = F.col(n_rows) > total * share + 1
+    few = F.broadcast(table.where(hot))
+    cold = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(cold.join(table.where(~hot), key))
