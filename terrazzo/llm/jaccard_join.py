@@ -180,8 +180,8 @@ def _shared(key, found):
 
 
 def _may_link(na, nb, pa_, pb) -> np.ndarray:
-    """Size bound, and that behind their places enough shingles are left."""
-    return (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (1 + np.minimum(na - pa_, nb - pb) - 1 >= needed(na, nb))
+    """Size bound, and that before and behind the places of a shared shingle enough others are left."""
+    return (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= needed(na, nb))
 
 
 def _stars(shared: DataFrame) -> DataFrame:
