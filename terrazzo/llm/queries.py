@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, hosts, jaccard_join, language, quality, substring_dedup, suffix_dedup, toxicity
+from . import bpe, decontaminate, exact_dedup, hosts, jaccard_join, language, quality, substring_dedup, suffix_dedup, toxicity
 from .common import read
 
 
@@ -38,6 +38,10 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(pages, hosts.outcomes_by_document(pages, read(spark, sf_dir, "labels")), hosts.RULES)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_reputation": op5_url_reputation,
+    "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
