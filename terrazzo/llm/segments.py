@@ -10,7 +10,7 @@ segments are compared window by window; what is a repeat goes back to its docume
 as intervals.
 
 Strings of a task and bucket are packed into one compressed value. Rows are known by
-doc_id and a hash of id and text, so that repeated ids don't mix.
+doc_id and a short hash of the text, so that repeated ids don't mix.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ from .common import documents_of, ready, slices, utf8
 #: Bytes of text that are looked at together, that a task packs together, and that a bucket and a group of documents hold.
 PIECE, FLUSH, PER_BUCKET, PER_GROUP = 512 << 10, 8 << 20, 2 << 20, 8 << 20
 LEAST_BUCKETS = 64
+#: Of zstd.
+LEVEL = 6
+#: Bits of the hash of a text that tell rows with one doc_id apart; above them stands the group of the document.
+TAG = 12
 #: Order of a null doc_id: before every other.
 NULL_ID = -(1 << 63)
 
@@ -74,19 +78,25 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
 
 
-def _pack(arrays: list[np.ndarray], tail: bytes) -> bytes:
-    head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a, np.int64).tobytes() for a in arrays) + tail)
+def _pack(arrays: list[np.ndarray], tail: bytes = b"", rising: int = 0) -> bytes:
+    """One compressed value of whole numbers and text. The first ``rising`` arrays are kept as differences; equal bytes of numbers lie together."""
+    head = [np.array([len(arrays), rising, *(len(a) for a in arrays)], np.int64).tobytes()]
+    for k, a in enumerate(arrays):
+        a = np.ascontiguousarray(a, np.int64)
+        if k < rising:
+            a = np.diff(a, prepend=np.int64(0))
+        head.append(a.view(np.uint8).reshape(-1, 8).T.tobytes())
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([*head, tail]))
 
 
 def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes = np.frombuffer(raw, np.int64, n, 8)
-    at, out = 8 + 8 * n, []
-    for s in sizes:
-        out.append(np.frombuffer(raw, np.int64, s, at))
-        at += 8 * int(s)
+    n, rising = np.frombuffer(raw, np.int64, 2).tolist()
+    at, out = 16 + 8 * n, []
+    for k, s in enumerate(np.frombuffer(raw, np.int64, n, 16).tolist()):
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * s, at).reshape(8, s).T).view(np.int64).reshape(s)
+        out.append(np.cumsum(a) if k < rising else a)
+        at += 8 * s
     return out, raw[at:]
 
 
@@ -98,7 +108,7 @@ def _pack_by(key: np.ndarray, arrays: list[np.ndarray]):
     arrays = [a[order] for a in arrays]
     for a, b in zip(cuts[:-1], cuts[1:]):
         if b > a:
-            yield int(key[a]), _pack([x[a:b] for x in arrays], b"")
+            yield int(key[a]), _pack([x[a:b] for x in arrays], rising=1)
 
 
 def _merge(strings: list[bytes], doc: np.ndarray, row: np.ndarray, start: np.ndarray, within: bool):
@@ -121,8 +131,8 @@ def _merge(strings: list[bytes], doc: np.ndarray, row: np.ndarray, start: np.nda
 class _Sender:
     """Collects the segments of a task and packs them by bucket."""
 
-    def __init__(self, kind: Windows, buckets: int, groups: int):
-        self.kind, self.buckets, self.groups = kind, buckets, groups
+    def __init__(self, kind: Windows, buckets: int):
+        self.kind, self.buckets = kind, buckets
         self.clear()
 
     def clear(self) -> None:
@@ -143,7 +153,7 @@ class _Sender:
         doc, row, start, count, bucket = (np.concatenate(x) for x in zip(*self.parts))
         which, strings, later, open_ = _merge(self.strings, doc, row, start, self.kind.within)
         k = np.flatnonzero(later)
-        for g, blob in _pack_by(row[k] % self.groups, [doc[k], row[k], start[k], start[k] + count[k] + self.kind.size - 1]):
+        for g, blob in _pack_by(row[k] >> TAG, [doc[k], row[k], start[k], start[k] + count[k] + self.kind.size - 1]):
             yield -1 - g, blob
         k = np.flatnonzero(open_)
         k = k[np.lexsort((which[k], bucket[k]))]
@@ -152,16 +162,16 @@ class _Sender:
             own = k[a:b]
             used, at = np.unique(which[own], return_inverse=True)
             texts = [strings[u] for u in used.tolist()]
-            yield int(bucket[own[0]]), _pack([np.array([len(t) for t in texts]), at, doc[own], row[own], start[own], count[own]], b"".join(texts))
+            yield int(bucket[own[0]]), _pack([at, doc[own], row[own], start[own], count[own], np.array([len(t) for t in texts])], b"".join(texts), 2)
         self.clear()
 
 
-def _bucket(kind: Windows, groups: int, blobs: list[bytes]):
+def _bucket(kind: Windows, blobs: list[bytes]):
     """Compare the segments of one bucket; yields (document group, packed intervals)."""
     strings: list[bytes] = []
     parts: list[list[np.ndarray]] = []
     for blob in blobs:
-        (sizes, at, doc, row, start, count), text = _unpack(blob)
+        (at, doc, row, start, count, sizes), text = _unpack(blob)
         ends = np.cumsum(sizes)
         own = [text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
         strings += [own[k] for k in at.tolist()]
@@ -204,7 +214,7 @@ def _bucket(kind: Windows, groups: int, blobs: list[bytes]):
             found.append([doc[i], row[i], start[i] + offset[first], start[i] + offset[last] + kind.size])
     doc, row, a, b = (np.concatenate(x) for x in zip(*found))
     if len(doc):
-        yield from _pack_by(row % groups, [doc, row, a, b])
+        yield from _pack_by(row >> TAG, [doc, row, a, b])
 
 
 def covered(length: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -217,10 +227,12 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
     """One row per row of ``docs``: doc_id and what ``kind.finish`` makes of its text and the repeats in it."""
     spark = docs.sparkSession
     ready(spark)
-    rows = documents_of(docs).withColumn("row", F.shiftright(F.xxhash64("doc_id", "text"), 1))
+    rows = documents_of(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(total / PER_BUCKET))
     groups = max(LEAST_BUCKETS, math.ceil(total / PER_GROUP))
+    part = F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text")), F.lit(groups))
+    rows = rows.withColumn("row", F.shiftleft(part, TAG).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << TAG) - 1))))
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
     def table(found) -> pa.RecordBatch:
@@ -228,10 +240,10 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], schema=schema)
 
     def send(batches):
-        sender = _Sender(kind, buckets, groups)
+        sender = _Sender(kind, buckets)
         for part in slices(batches, PIECE):
             doc = part.column(0).fill_null(NULL_ID).to_numpy()
-            row = np.abs(part.column(2).to_numpy())
+            row = part.column(2).to_numpy()
             sender.add(doc, row, *utf8(part.column(1)))
             if sender.bytes >= FLUSH:
                 yield table(sender.rows())
@@ -241,7 +253,7 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         number, blobs = key[0].as_py(), found.column("blob").to_pylist()
         if number < 0:  # decided before they left their task
             return pa.Table.from_batches([table((-1 - number, b) for b in blobs)]).rename_columns(["part", "blob"])
-        return pa.Table.from_batches([table(_bucket(kind, groups, blobs))]).rename_columns(["part", "blob"])
+        return pa.Table.from_batches([table(_bucket(kind, blobs))]).rename_columns(["part", "blob"])
 
     names = [c.split()[0] for c in kind.output.split(", ")]
 
@@ -254,7 +266,7 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         ids = []
         for batch in slices(texts.to_batches(), PIECE):
             doc = batch.column(0).fill_null(NULL_ID).to_numpy()
-            row = np.abs(batch.column(2).to_numpy())
+            row = batch.column(2).to_numpy()
             lo, hi = np.searchsorted(mark_row, row, "left"), np.searchsorted(mark_row, row, "right")
             own = []
             for d, a, b in zip(doc, lo, hi):
@@ -267,5 +279,5 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
 
     sent = rows.select("doc_id", "text", "row").mapInArrow(send, "bucket long, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(compare, "part long, blob binary")
-    texts = rows.withColumn("part", F.abs("row") % F.lit(groups))
+    texts = rows.withColumn("part", F.shiftright("row", TAG))
     return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, f"doc_id long, {kind.output}")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import _P, _P_INV, mix, powers
 from .segments import Windows, covered, ranges, remove_repeats, runs, slide_min
 
-LENGTH, TRIGGER = 50, 12
+LENGTH, TRIGGER = 50, 8
 #: Where to read eight bytes at a time to compare LENGTH of them.
 STEPS = [*range(0, LENGTH - 7, 8), LENGTH - 8]
 
