@@ -33,6 +33,8 @@ PERCENT = 75
 #: Common shingles that are told to every task, and how many a task may name.
 HOT, HOT_PER_FLUSH = 1 << 15, 2048
 PIECE, PER_BUCKET, PER_GROUP, PER_HUB = 1 << 20, 2 << 20, 4 << 20, 256
+#: So many (node, pair) rows of some 50 bytes may be sent to every task.
+SENT_ROWS = 250_000
 _Q = np.uint64(0xA0761D6478BD642F)
 _Q_INV = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
 
@@ -80,7 +82,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def _survey(rows: DataFrame) -> DataFrame:
-    """kind 0: doc_id, node, n of each row; kind 1: a shingle that is common in its task, how often."""
+    """kind 0: doc_id, node, n and text hash of each row; kind 1: a shingle that is common in its task, how often."""
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -91,12 +93,12 @@ def _survey(rows: DataFrame) -> DataFrame:
             top = np.flatnonzero(n > 2)
             top = top[np.argsort(-n[top], kind="stable")[:HOT_PER_FLUSH]]
             k = len(top)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int64)), pa.array(value[top].view(np.int64)), pa.array(n[top]), pa.array(np.zeros(k, np.int64))], ["kind", "a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int64)), pa.array(value[top].view(np.int64)), pa.array(n[top]), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64))], ["kind", "a", "b", "c", "d"])
 
         for part in slices(batches, PIECE):
             sets, sizes = shingle_sets(*utf8(part.column(1)))
             nodes = node_numbers(sets, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(nodes), np.int64)), part.column(0), pa.array(nodes), pa.array(sizes.astype(np.int64))], ["kind", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(nodes), np.int64)), part.column(0), pa.array(nodes), pa.array(sizes.astype(np.int64)), part.column(2)], ["kind", "a", "b", "c", "d"])
             _, lead = np.unique(nodes, return_index=True)  # equal sets of a piece count once
             ends = np.cumsum(sizes)
             held.append(sets[ranges((ends - sizes)[lead], sizes[lead])])
@@ -107,7 +109,7 @@ def _survey(rows: DataFrame) -> DataFrame:
         if held:
             yield common()
 
-    return rows.select("doc_id", "text").mapInArrow(run, "kind long, a long, b long, c long")
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "kind long, a long, b long, c long, d long")
 
 
 def _incidence(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
@@ -126,7 +128,7 @@ def _incidence(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int
             order = np.argsort(bucket, kind="stable")
             key, node, n, place, bucket = (x[order] for x in (key, node, n, place, bucket))
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            out = [(int(bucket[a]), _pack([key[a:b].view(np.int64), node[a:b], n[a:b], place[a:b]], b"")) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+            out = [(int(bucket[a]), _pack([node[a:b], key[a:b].view(np.int64), n[a:b], place[a:b]])) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["bucket", "blob"])
 
         for part in slices(batches, PIECE):
@@ -167,7 +169,7 @@ def _incidence(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int
 
 def _shared(key, found):
     """Of one block, the shingles that more than one node has."""
-    key, node, n, place = (np.concatenate(x) for x in zip(*(_unpack(b)[0] for b in found.column("blob").to_pylist())))
+    node, key, n, place = (np.concatenate(x) for x in zip(*(_unpack(b)[0] for b in found.column("blob").to_pylist())))
     order = np.lexsort((node, key))
     key, node, n, place = (x[order] for x in (key, node, n, place))
     first = np.ones(len(key), bool)
@@ -176,7 +178,11 @@ def _shared(key, found):
     many = np.zeros(len(key), bool)
     many[1:] = key[1:] == key[:-1]
     many[:-1] |= many[1:]
-    return pa.table([pa.array(x[many]) for x in (key, node, n, place)], names=["shingle", "node", "n", "place"])
+    key, node, n, place = (x[many] for x in (key, node, n, place))
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else np.zeros(0, np.int64)
+    return pa.table([pa.array(x) for x in (key, node, n, place, node[lead], n[lead])], names=["shingle", "node", "n", "place", "hub", "hub_n"])
 
 
 def _may_link(na, nb, pa_, pb) -> np.ndarray:
@@ -184,26 +190,34 @@ def _may_link(na, nb, pa_, pb) -> np.ndarray:
     return (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= needed(na, nb))
 
 
+def _enough(c, na: str, nb: str):
+    """Whether c shared ones among the rarest leave a link possible: the others lie behind the end of one of the two."""
+    behind = F.greatest(F.floor(F.lit(PERCENT) * F.col(na) / 100), F.floor(F.lit(PERCENT) * F.col(nb) / 100))
+    return c + behind >= F.ceil(F.lit(PERCENT) * (F.col(na) + F.col(nb)) / (100 + PERCENT))
+
+
 def _stars(shared: DataFrame) -> DataFrame:
-    """Each node with one partner of smaller number: the one that it shares most rare shingles with as its shingles' smallest node."""
-    hub = shared.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("hub"))
-    pairs = shared.join(hub, "shingle").select(F.col("hub.node").alias("a"), F.col("hub.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).where("a <> b")
-    pairs = pairs.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+    """Each node with one partner of smaller number: of the smallest nodes of its shingles, the one that it shares most with."""
+    pairs = shared.where((F.col("hub") != F.col("node")) & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")))
+    pairs = pairs.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.first("hub_n").alias("na"), F.first("n").alias("nb"))
+    pairs = pairs.where(_enough(F.col("c"), "na", "nb"))
     return pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
 def _between(shared: DataFrame, roots: DataFrame, buckets: int) -> DataFrame:
     """Pairs of nodes of different components whose summed overlap counts still let them be linked."""
     rows = shared.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("shingle")
-    rows = rows.join(stage(mixed, "mixed"), "shingle", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("shingle"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("shingle"), F.lit(buckets)))
 
     def run(key, found):
         shingle, node, n, place, root = (found.column(c).to_numpy() for c in ("shingle", "node", "n", "place", "root"))
         order = np.lexsort((n, shingle))
         shingle, node, n, place, root = (x[order] for x in (shingle, node, n, place, root))
         ends = np.flatnonzero(np.append(shingle[1:] != shingle[:-1], True)) + 1
+        begins = np.concatenate([[0], ends[:-1]])
+        mixed = np.repeat(np.minimum.reduceat(root, begins) < np.maximum.reduceat(root, begins), ends - begins)
+        shingle, node, n, place, root = (x[mixed] for x in (shingle, node, n, place, root))
+        ends = np.flatnonzero(np.append(shingle[1:] != shingle[:-1], True)) + 1 if len(shingle) else np.zeros(0, np.int64)
         # Each row meets the rows after it that share its shingle and are not too large.
         last = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
         out: list[tuple[np.ndarray, ...]] = []
@@ -242,27 +256,39 @@ def _between(shared: DataFrame, roots: DataFrame, buckets: int) -> DataFrame:
 
     pairs = rows.select("bucket", "shingle", "node", "n", "place", "root").groupBy("bucket").applyInArrow(run, "a long, b long, c long, na long, nb long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # What is not shared among the rarest lies behind the end of one of the two.
-    behind = F.greatest(F.floor(F.lit(PERCENT) * F.col("na") / 100), F.floor(F.lit(PERCENT) * F.col("nb") / 100))
-    need = F.ceil(F.lit(PERCENT) * (F.col("na") + F.col("nb")) / (100 + PERCENT))
-    return pairs.where(F.col("c") + behind >= need).select("a", "b")
+    return pairs.where(_enough(F.col("c"), "na", "nb")).select("a", "b")
+
 
+def _verify(pairs: DataFrame, rows: DataFrame, lead: DataFrame, groups: int) -> DataFrame:
+    """The pairs (a, b) that are linked, as edges (u, v).
 
-def _verify(pairs: DataFrame, texts: DataFrame, groups: int) -> DataFrame:
-    """The pairs (a, b) that are linked, as edges (u, v). A node with many pairs is dealt to many groups."""
-    hubs = stage(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_HUB).alias("shares")), "hubs")
+    A pair is looked at in the group of its smaller node; a node with many pairs is
+    dealt to many groups. Only texts of nodes in a pair move: the list of them is sent
+    to the tasks if it is short, and else meets the documents by a merge join.
+    """
+    hubs = stage(pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_HUB).cast("int").alias("shares")), "hubs")
     group = F.pmod(F.xxhash64("a", "share"), F.lit(groups))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text")).join(hubs, "a").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1)))
-    right = pairs.select(F.col("a").alias("a"), F.col("b").alias("b")).join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b").join(hubs.select(F.col("a").alias("a"), F.col("shares").alias("shares")), "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
+    left = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).select(F.col("a").alias("node"), "a", "share")
+    right = pairs.join(hubs, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+    wanted = left.union(right).withColumn("g", group).join(lead.select("node", "id", "text_hash"), "node")
+    wanted = stage(wanted, "wanted")
+    few = wanted.count() <= SENT_ROWS
+    wanted = F.broadcast(wanted) if few else wanted.hint("merge")
+    own = rows.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = own.join(wanted, ["id", "text_hash"]).select("g", "a", "share", "node", "text")
 
-    def run(key, hub, member):
+    def run(key, found):
+        one = found.column("a").to_numpy() == found.column("node").to_numpy()
+        return compare(found.filter(pa.array(one)), found.filter(pa.array(~one)))
+
+    def compare(hub, member):
         out: list[tuple[int, int]] = []
         sets, sizes = shingle_sets(*utf8(hub.column("text")))
         ends = np.cumsum(sizes)
         by = {}
         for k, (a, share) in enumerate(zip(hub.column("a").to_pylist(), hub.column("share").to_pylist())):
             by[a, share] = sets[ends[k] - sizes[k] : ends[k]]
-        for batch in slices(member.select(["b", "other", "a", "share"]).to_batches(), PIECE):
+        for batch in slices(member.select(["node", "text", "a", "share"]).to_batches(), PIECE):
             sets, sizes = shingle_sets(*utf8(batch.column(1)))
             ends = np.cumsum(sizes)
             for k, (b, a, share) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
@@ -273,9 +299,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, groups: int) -> DataFrame:
                     out.append((a, b))
         return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
-    left = left.select(group.alias("g"), "a", "share", "text")
-    right = right.select(group.alias("g"), "a", "b", "share", "other")
-    return left.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(run, "u long, v long")
+    return found.groupBy("g").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -293,23 +317,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     survey = stage(_survey(rows), "survey")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, groups = (max(LEAST_BUCKETS, math.ceil(total / per)) for per in (PER_BUCKET, PER_GROUP))
-    members = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"))
+    members = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("text_hash"))
     common = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(HOT).toArrow()
     value, n = common.column("a").to_numpy().view(np.uint64), common.column("n").to_numpy()
     order = np.argsort(value)
     hot = value[order], np.minimum(31, 1 + np.log2(n[order])).astype(np.uint64)
-    shared = stage(_incidence(rows, hot, buckets).groupBy("bucket").applyInArrow(_shared, "shingle long, node long, n long, place long"), "shared")
-
-    # Texts of the nodes that share a rare shingle, one for each.
-    lead = members.where("node <> 0").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("id"), F.count("*").alias("n_rows"))
-    lead = stage(lead, "lead")
-    wanted = lead.join(shared.select("node").distinct(), "node", "left_semi")
-    texts = rows.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID))).join(wanted.select("id", "node").hint("merge"), "id").select("id", "node", "text")
-    texts = stage(_of_node(texts), "texts")
+    shared = stage(_incidence(rows, hot, buckets).groupBy("bucket").applyInArrow(_shared, "shingle long, node long, n long, place long, hub long, hub_n long"), "shared")
 
-    links = stage(_verify(stage(_stars(shared), "stars"), texts, groups), "links")
+    # Of each node the row whose text stands for it.
+    lead = members.where("node <> 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_hash")).alias("row"), F.count("*").alias("n_rows"))
+    lead = stage(lead.select("node", "row.id", "row.text_hash", "n_rows"), "lead")
+    links = stage(_verify(stage(_stars(shared), "stars"), rows, lead, groups), "links")
     roots = connected_components(links)
-    more = stage(_verify(stage(_between(shared, roots, buckets), "pairs"), texts, groups), "links")
+    more = stage(_verify(stage(_between(shared, roots, buckets), "pairs"), rows, lead, groups), "links")
     if not more.isEmpty():
         roots = connected_components(roots.toDF("u", "v").union(more))
 
@@ -322,13 +342,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 
 
-def _of_node(texts: DataFrame) -> DataFrame:
-    """Only the row whose text has the node's set (an id may stand on several texts), once."""
 
-    def run(batches):
-        for part in slices(batches, PIECE, 2):
-            sets, sizes = shingle_sets(*utf8(part.column(2)))
-            right = node_numbers(sets, sizes) == part.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2)], ["node", "text"]).filter(pa.array(right))
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each component (the smallest doc_id) and all that have no words; all columns stay.
 
-    return texts.mapInArrow(run, "node long, text string").dropDuplicates(["node"])
+    Rows with an id that repeats on a text already kept are kept as they came.
+    """
+    found = near_duplicates(docs)
+    gone = found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
+    gone = gone.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_anti")
