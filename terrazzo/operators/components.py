@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..staging import ready, stage
 
 
+#: So many edges (16 bytes each) are few enough for one task; more go through rounds of stars.
+LOCAL_EDGES = 1 << 20
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The smallest node reachable within these edges, for each node that isn't its own."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -38,10 +42,10 @@ def _thin(edges: DataFrame) -> DataFrame:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             part.append((a, b))
             held += len(a)
-            if held > 1 << 20:
+            if held > 2 * LOCAL_EDGES:
                 part = [forest(*(np.concatenate(x) for x in zip(*part)))]
                 held = len(part[0][0])
-                if held > 1 << 19:  # too many nodes for one table: pass it on
+                if held > LOCAL_EDGES:  # too many nodes for one table: pass it on
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in part[0]], ["u", "v"])
                     part, held = [], 0
         if held:
@@ -54,9 +58,12 @@ def _thin(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v) that isn't the smallest of its component.
 
-    Each round is written to the shared folder. No edges: no rows.
+    Up to LOCAL_EDGES edges are solved by one task, more by rounds of stars, each written
+    to the shared folder. No edges: no rows.
     """
     edges = stage(_thin(edges.where("u <> v")), "edges")
+    if edges.count() <= LOCAL_EDGES:
+        return stage(_thin(edges.coalesce(1)), "roots").toDF("node", "root")
     while True:
         both = edges.union(edges.select("v", "u"))
         low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
