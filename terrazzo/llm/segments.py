@@ -32,8 +32,8 @@ PIECE, FLUSH, PER_BUCKET, PER_GROUP = 512 << 10, 8 << 20, 2 << 20, 8 << 20
 LEAST_BUCKETS = 64
 #: Of zstd.
 LEVEL = 6
-#: Bits of the hash of a text that tell rows with one doc_id apart; above them stands the group of the document.
-TAG = 12
+#: Bits of the hash of a text that tell rows with one doc_id apart.
+TAG = 8
 #: Order of a null doc_id: before every other.
 NULL_ID = -(1 << 63)
 
@@ -100,6 +100,13 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
+def _prime(n: int) -> int:
+    """The smallest prime from n on: no regular step in the ids makes groups uneven."""
+    while any(n % k == 0 for k in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def _pack_by(key: np.ndarray, arrays: list[np.ndarray]):
     """(value of key, packed rows) for each value."""
     order = np.argsort(key, kind="stable")
@@ -131,8 +138,8 @@ def _merge(strings: list[bytes], doc: np.ndarray, row: np.ndarray, start: np.nda
 class _Sender:
     """Collects the segments of a task and packs them by bucket."""
 
-    def __init__(self, kind: Windows, buckets: int):
-        self.kind, self.buckets = kind, buckets
+    def __init__(self, kind: Windows, buckets: int, groups: int):
+        self.kind, self.buckets, self.groups = kind, buckets, groups
         self.clear()
 
     def clear(self) -> None:
@@ -153,7 +160,7 @@ class _Sender:
         doc, row, start, count, bucket = (np.concatenate(x) for x in zip(*self.parts))
         which, strings, later, open_ = _merge(self.strings, doc, row, start, self.kind.within)
         k = np.flatnonzero(later)
-        for g, blob in _pack_by(row[k] >> TAG, [doc[k], row[k], start[k], start[k] + count[k] + self.kind.size - 1]):
+        for g, blob in _pack_by(doc[k] % self.groups, [doc[k], row[k], start[k], start[k] + count[k] + self.kind.size - 1]):
             yield -1 - g, blob
         k = np.flatnonzero(open_)
         k = k[np.lexsort((which[k], bucket[k]))]
@@ -162,16 +169,20 @@ class _Sender:
             own = k[a:b]
             used, at = np.unique(which[own], return_inverse=True)
             texts = [strings[u] for u in used.tolist()]
-            yield int(bucket[own[0]]), _pack([at, doc[own], row[own], start[own], count[own], np.array([len(t) for t in texts])], b"".join(texts), 2)
+            more = np.array([len(t) for t in texts])
+            more[at] = more[at] - count[own]  # of byte windows always the same
+            yield int(bucket[own[0]]), _pack([at, doc[own], row[own], start[own], count[own], more], b"".join(texts), 2)
         self.clear()
 
 
-def _bucket(kind: Windows, blobs: list[bytes]):
+def _bucket(kind: Windows, groups: int, blobs: list[bytes]):
     """Compare the segments of one bucket; yields (document group, packed intervals)."""
     strings: list[bytes] = []
     parts: list[list[np.ndarray]] = []
     for blob in blobs:
-        (at, doc, row, start, count, sizes), text = _unpack(blob)
+        (at, doc, row, start, count, more), text = _unpack(blob)
+        sizes = more.copy()
+        sizes[at] = more[at] + count
         ends = np.cumsum(sizes)
         own = [text[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
         strings += [own[k] for k in at.tolist()]
@@ -214,7 +225,7 @@ def _bucket(kind: Windows, blobs: list[bytes]):
             found.append([doc[i], row[i], start[i] + offset[first], start[i] + offset[last] + kind.size])
     doc, row, a, b = (np.concatenate(x) for x in zip(*found))
     if len(doc):
-        yield from _pack_by(row >> TAG, [doc, row, a, b])
+        yield from _pack_by(doc % groups, [doc, row, a, b])
 
 
 def covered(length: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -230,9 +241,8 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
     rows = documents_of(docs)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(total / PER_BUCKET))
-    groups = max(LEAST_BUCKETS, math.ceil(total / PER_GROUP))
-    part = F.pmod(F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text")), F.lit(groups))
-    rows = rows.withColumn("row", F.shiftleft(part, TAG).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << TAG) - 1))))
+    groups = _prime(max(LEAST_BUCKETS, math.ceil(total / PER_GROUP)))
+    rows = rows.withColumn("row", F.xxhash64("text").bitwiseAND(F.lit((1 << TAG) - 1)))
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
     def table(found) -> pa.RecordBatch:
@@ -240,7 +250,7 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([b for _, b in found], pa.binary())], schema=schema)
 
     def send(batches):
-        sender = _Sender(kind, buckets)
+        sender = _Sender(kind, buckets, groups)
         for part in slices(batches, PIECE):
             doc = part.column(0).fill_null(NULL_ID).to_numpy()
             row = part.column(2).to_numpy()
@@ -253,24 +263,24 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
         number, blobs = key[0].as_py(), found.column("blob").to_pylist()
         if number < 0:  # decided before they left their task
             return pa.Table.from_batches([table((-1 - number, b) for b in blobs)]).rename_columns(["part", "blob"])
-        return pa.Table.from_batches([table(_bucket(kind, blobs))]).rename_columns(["part", "blob"])
+        return pa.Table.from_batches([table(_bucket(kind, groups, blobs))]).rename_columns(["part", "blob"])
 
     names = [c.split()[0] for c in kind.output.split(", ")]
 
     def finish(key, texts, marks):
         found = [_unpack(b)[0] for b in marks.column("blob").to_pylist()]
         mark_doc, mark_row, begin, end = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
-        order = np.lexsort((mark_doc, mark_row))
+        order = np.lexsort((mark_row, mark_doc))
         mark_doc, mark_row, begin, end = (x[order] for x in (mark_doc, mark_row, begin, end))
         out: list[list] = [[] for _ in names]
         ids = []
         for batch in slices(texts.to_batches(), PIECE):
             doc = batch.column(0).fill_null(NULL_ID).to_numpy()
             row = batch.column(2).to_numpy()
-            lo, hi = np.searchsorted(mark_row, row, "left"), np.searchsorted(mark_row, row, "right")
+            lo, hi = np.searchsorted(mark_doc, doc, "left"), np.searchsorted(mark_doc, doc, "right")
             own = []
-            for d, a, b in zip(doc, lo, hi):
-                k = slice(a, b) if a == b or (mark_doc[a] == d and mark_doc[b - 1] == d) else a + np.flatnonzero(mark_doc[a:b] == d)
+            for r, a, b in zip(row, lo, hi):
+                k = slice(a, b) if a == b or (mark_row[a] == r and mark_row[b - 1] == r) else a + np.flatnonzero(mark_row[a:b] == r)
                 own.append((begin[k], end[k]))
             for column, values in zip(out, kind.finish(*utf8(batch.column(1)), own), strict=True):
                 column += values
@@ -279,5 +289,5 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
 
     sent = rows.select("doc_id", "text", "row").mapInArrow(send, "bucket long, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(compare, "part long, blob binary")
-    texts = rows.withColumn("part", F.shiftright("row", TAG))
+    texts = rows.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(NULL_ID)), F.lit(groups)))
     return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, f"doc_id long, {kind.output}")
