@@ -8,9 +8,9 @@ sizes call for are discarded; the rest are compared in full.
 Documents with equal sets are one row of the matrix (a node). Of each node only the
 rarest shingles enter, as many as two linked nodes must share one of; any order that
 all nodes agree on gives whole results. Large groups of near copies would still meet
-in quadratic numbers: so each node is first compared with its closest partner of
-smaller number, and afterwards only pairs between different components of the links
-found are counted and compared. No link between components is missed.
+in quadratic numbers: so each node is first compared with one partner that many
+others meet too, and afterwards only pairs between different components of the links
+found are counted and compared, the closest of two components first. No link between components is missed.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from .toxicity import lower
 SHINGLE = 5
 #: Linked when 100 * overlap >= PERCENT * union.
 PERCENT = 75
-#: Common shingles that are told to every task, and how many a task may name.
-HOT, HOT_PER_FLUSH = 1 << 15, 2048
+#: Common shingles that are told to every task, how many a task may name, and how many nodes must share one.
+HOT, HOT_PER_FLUSH, LEAST_HOT = 1 << 18, 1 << 14, 4
+#: Bits of a shingle's hash that name it; its level stands above them.
+NAME = (1 << 59) - 1
 PIECE, PER_BUCKET, PER_GROUP, PER_HUB = 1 << 20, 2 << 20, 4 << 20, 256
 #: So many (node, pair) rows of some 50 bytes may be sent to every task.
 SENT_ROWS = 250_000
@@ -90,7 +92,7 @@ def _survey(rows: DataFrame) -> DataFrame:
 
         def common():
             value, n = np.unique(np.concatenate(held), return_counts=True)
-            top = np.flatnonzero(n > 2)
+            top = np.flatnonzero(n > 1)
             top = top[np.argsort(-n[top], kind="stable")[:HOT_PER_FLUSH]]
             k = len(top)
             return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int64)), pa.array(value[top].view(np.int64)), pa.array(n[top]), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64))], ["kind", "a", "b", "c", "d"])
@@ -149,8 +151,8 @@ def _incidence(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int
                 key = value >> np.uint64(5)
                 cuts = np.concatenate([[0], np.cumsum(n)])
                 if len(common):
-                    at = np.minimum(np.searchsorted(common, value), len(common) - 1)
-                    known = common[at] == value
+                    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                    known = common[at] == key
                     key[known] |= level[at[known]] << np.uint64(59)
                     for k in np.flatnonzero(np.add.reduceat(known, cuts[:-1]) > 0).tolist():
                         key[cuts[k] : cuts[k + 1]].sort()
@@ -181,8 +183,19 @@ def _shared(key, found):
     key, node, n, place = (x[many] for x in (key, node, n, place))
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
-    lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else np.zeros(0, np.int64)
-    return pa.table([pa.array(x) for x in (key, node, n, place, node[lead], n[lead])], names=["shingle", "node", "n", "place", "hub", "hub_n"])
+    run = np.cumsum(head) - 1
+    met = np.bincount(run)[run] if len(run) else run
+    return pa.table([pa.array(x) for x in (key, node, n, place, met)], names=["shingle", "node", "n", "place", "met"])
+
+
+def _levels(value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, ascending, and the level of each: the more documents have it, the later it stands."""
+    order = np.argsort(value)
+    return value[order], np.minimum(31, 1 + np.log2(n[order])).astype(np.uint64)
+
+
+def _product(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    return _incidence(rows, hot, buckets).groupBy("bucket").applyInArrow(_shared, "shingle long, node long, n long, place long, met long")
 
 
 def _may_link(na, nb, pa_, pb) -> np.ndarray:
@@ -197,13 +210,34 @@ def _enough(c, na: str, nb: str):
 
 
 def _stars(shared: DataFrame) -> DataFrame:
-    """Each node with one partner of smaller number: of the smallest nodes of its shingles, the one that it shares most with."""
-    pairs = shared.where((F.col("hub") != F.col("node")) & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")))
+    """Each node with one partner: of the hubs of its shingles, the one that it shares most with.
+
+    The hub of a shingle is its node that meets most others in all: of near copies,
+    likely the one closest to their source.
+    """
+    weight = shared.groupBy("node").agg(F.sum("met").alias("weight"))
+    hub = shared.join(weight, "node").groupBy("shingle").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+    pairs = shared.join(stage(hub.select("shingle", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs"), "shingle")
+    pairs = pairs.where((F.col("hub") != F.col("node")) & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")))
     pairs = pairs.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.first("hub_n").alias("na"), F.first("n").alias("nb"))
     pairs = pairs.where(_enough(F.col("c"), "na", "nb"))
     return pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
 
 
+def _closest(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the pairs between two components, the one that shares most."""
+    rooted = _rooted(pairs, roots).groupBy(F.least("ra", "rb").alias("one"), F.greatest("ra", "rb").alias("two"))
+    return rooted.agg(F.max(F.struct("c", "a", "b")).alias("best")).select("best.a", "best.b")
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different components, with their roots."""
+    for k, r in (("a", "ra"), ("b", "rb")):
+        own = roots.select(F.col("node").alias(k), F.col("root").alias(r))
+        pairs = pairs.join(own, k, "left").withColumn(r, F.coalesce(r, k))
+    return pairs.where("ra <> rb")
+
+
 def _between(shared: DataFrame, roots: DataFrame, buckets: int) -> DataFrame:
     """Pairs of nodes of different components whose summed overlap counts still let them be linked."""
     rows = shared.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -256,7 +290,7 @@ def _between(shared: DataFrame, roots: DataFrame, buckets: int) -> DataFrame:
 
     pairs = rows.select("bucket", "shingle", "node", "n", "place", "root").groupBy("bucket").applyInArrow(run, "a long, b long, c long, na long, nb long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return pairs.where(_enough(F.col("c"), "na", "nb")).select("a", "b")
+    return pairs.where(_enough(F.col("c"), "na", "nb")).select("a", "b", "c")
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, lead: DataFrame, groups: int) -> DataFrame:
@@ -319,19 +353,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets, groups = (max(LEAST_BUCKETS, math.ceil(total / per)) for per in (PER_BUCKET, PER_GROUP))
     members = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("text_hash"))
     common = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(HOT).toArrow()
-    value, n = common.column("a").to_numpy().view(np.uint64), common.column("n").to_numpy()
-    order = np.argsort(value)
-    hot = value[order], np.minimum(31, 1 + np.log2(n[order])).astype(np.uint64)
-    shared = stage(_incidence(rows, hot, buckets).groupBy("bucket").applyInArrow(_shared, "shingle long, node long, n long, place long, hub long, hub_n long"), "shared")
+    value, n = common.column("a").to_numpy().view(np.uint64) >> np.uint64(5), common.column("n").to_numpy()
+    shared = stage(_product(rows, _levels(value, n), buckets), "shared")
+    # The first product knows how many nodes really share each shingle: order by that.
+    met = shared.where(F.col("met") >= LEAST_HOT).select(F.col("shingle").bitwiseAND(F.lit(NAME)).alias("value"), "met")
+    known = met.groupBy("value").agg(F.max("met").alias("n")).orderBy(F.desc("n"), "value").limit(HOT).toArrow()
+    if known.num_rows:
+        value = np.concatenate([known.column("value").to_numpy().astype(np.uint64), value])
+        n = np.concatenate([known.column("n").to_numpy(), n])
+        value, first = np.unique(value, return_index=True)
+        shared = stage(_product(rows, _levels(value, n[first]), buckets), "shared")
 
     # Of each node the row whose text stands for it.
     lead = members.where("node <> 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_hash")).alias("row"), F.count("*").alias("n_rows"))
     lead = stage(lead.select("node", "row.id", "row.text_hash", "n_rows"), "lead")
     links = stage(_verify(stage(_stars(shared), "stars"), rows, lead, groups), "links")
     roots = connected_components(links)
-    more = stage(_verify(stage(_between(shared, roots, buckets), "pairs"), rows, lead, groups), "links")
-    if not more.isEmpty():
-        roots = connected_components(roots.toDF("u", "v").union(more))
+    pairs = stage(_between(shared, roots, buckets), "pairs")
+    for pick in (lambda: _closest(pairs, roots), lambda: _rooted(pairs, roots).select("a", "b")):
+        more = stage(_verify(stage(pick(), "picked"), rows, lead, groups), "links")
+        if not more.isEmpty():
+            roots = connected_components(roots.toDF("u", "v").union(more))
 
     named = lead.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     id_ = F.when(F.col("id") != NULL_ID, F.col("id"))
