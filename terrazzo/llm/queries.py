@@ -72,11 +72,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+#: Words: runs of anything but space and tab to carriage return.
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+        f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        starts AS (SELECT w.doc_id, w.i FROM w JOIN f USING (s) WHERE w.doc_id > f.least),
+        b AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS i, h FROM d),
+        marked AS (SELECT b.doc_id, b.i, substr(b.h, CAST(2 * b.i + 1 AS BIGINT), 2) AS x,
+                     coalesce(b.i - max(s.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING) < 50, false) AS gone
+                   FROM b LEFT JOIN starts s ON s.doc_id = b.doc_id AND s.i = b.i),
+        runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM marked),
+        done AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM runs GROUP BY doc_id)
+        SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN done USING (doc_id)
+    """,
+    "op7_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        both_ AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        cc(id, lbl) USING KEY (id) AS (
+          SELECT doc_id, doc_id FROM documents
+          UNION
+          SELECT r.id, min(cc.lbl) FROM cc JOIN both_ e ON e.b = cc.id JOIN recurring.cc r ON r.id = e.a WHERE cc.lbl < r.lbl GROUP BY r.id
+        )
+        SELECT cc.id AS doc_id, coalesce(n.n, 0) AS n_shingles, cc.lbl AS component_id FROM cc LEFT JOIN n ON n.doc_id = cc.id
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op10_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+        v AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM v),
+        starts AS (SELECT doc_id, i FROM r WHERE k > 1),
+        b AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+        marked AS (SELECT b.doc_id, b.i, b.x,
+                     coalesce(b.i - max(s.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING) < 20, false) AS gone
+                   FROM b LEFT JOIN starts s ON s.doc_id = b.doc_id AND s.i = b.i),
+        done AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN done USING (doc_id)
+    """,
 }
