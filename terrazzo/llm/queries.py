@@ -76,21 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: SQL over all 50-byte windows is too slow on whole tables: op4 is tested against a brute-force version.
 ORACLE_SQL: dict[str, str] = {
-    "op4_suffix_dedup": """
-        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        w AS (SELECT doc_id, i, substr(h, CAST(2 * i + 1 AS BIGINT), 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
-        f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
-        starts AS (SELECT w.doc_id, w.i FROM w JOIN f USING (s) WHERE w.doc_id > f.least),
-        b AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS i, h FROM d),
-        marked AS (SELECT b.doc_id, b.i, substr(b.h, CAST(2 * b.i + 1 AS BIGINT), 2) AS x,
-                     coalesce(b.i - max(s.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING) < 50, false) AS gone
-                   FROM b LEFT JOIN starts s ON s.doc_id = b.doc_id AND s.i = b.i),
-        runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM marked),
-        done AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM runs GROUP BY doc_id)
-        SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-        FROM d LEFT JOIN done USING (doc_id)
-    """,
     "op7_jaccard_join": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g
