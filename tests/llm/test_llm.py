@@ -142,26 +142,26 @@ def test_exact_dedup_is_native(spark):
 
 
 @pytest.fixture(scope="module")
-def reference():
+def library():
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(tokenizer_path())
 
 
-def test_bpe_round_trip(spark, corpus, reference):
+def test_bpe_round_trip(spark, corpus, library):
     rng = random.Random(3)
     odd = ["a", "ing", " ", "  ", "\n", "<|endoftext|>", "é", "😀", "ß", "12", "½", "!", "'s", "''", "aaaa", "==", "\t", "\x1c", " ", "中文", "́"]
     rows = corpus + [(1000 + k, "".join(rng.choice(odd) for _ in range(rng.randint(0, 40)))) for k in range(300)]
     got = by_id(bpe.encode_digests(frame(spark, rows), tokenizer_path()))
     for i, text in rows:
-        ids = reference.encode(text or "", add_special_tokens=False).ids
-        back = reference.decode(ids, skip_special_tokens=False)
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
         assert got[i] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()), repr(text)
     whole = {r.doc_id: r for r in bpe.encode(frame(spark, corpus), tokenizer_path()).collect()}
     assert all(whole[i].decoded == (t or "") for i, t in corpus)
 
 
-def test_bpe_merges(reference):
+def test_bpe_merges(library):
     own = bpe.encoder(open(tokenizer_path(), encoding="utf-8").read())
     rng = random.Random(5)
     for _ in range(300):
