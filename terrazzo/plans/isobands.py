@@ -134,13 +134,19 @@ def _assembler(affine: Affine, strict: bool):
             elif not upper[k] or strict:
                 outer.append((ring, abs(area)))
         inside: list[list[int]] = [[] for _ in outer]
-        boxes = [(r[:, 0].min(), r[:, 0].max(), r[:, 1].min(), r[:, 1].max()) for r, _ in outer]
-        turns = sorted(range(len(outer)), key=lambda k: outer[k][1]) if strict else range(len(outer))
+        turns = np.array(sorted(range(len(outer)), key=lambda k: outer[k][1]) if strict else range(len(outer)), int)
+        boxes = np.array([(r[:, 0].min(), r[:, 0].max(), r[:, 1].min(), r[:, 1].max()) for r, _ in outer]).reshape(-1, 4)[turns]
+        sizes = np.array([size for _, size in outer])[turns]
         for h, (ring, size) in enumerate(holes):
+            if len(outer) == 1 and not strict:
+                inside[0].append(h)
+                continue
             px, py = ring[0]
-            for k in turns:
-                lo_x, hi_x, lo_y, hi_y = boxes[k]
-                if (len(outer) == 1 and not strict) or (lo_x <= px <= hi_x and lo_y <= py <= hi_y and (not strict or outer[k][1] > size) and _inside(px, py, outer[k][0])):
+            near = (boxes[:, 0] <= px) & (px <= boxes[:, 1]) & (boxes[:, 2] <= py) & (py <= boxes[:, 3])
+            if strict:
+                near &= sizes > size
+            for k in turns[near].tolist():
+                if _inside(px, py, outer[k][0]):
                     inside[k].append(h)
                     break
         out, lengths, counts, areas = [], [], [], []
