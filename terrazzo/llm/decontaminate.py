@@ -5,9 +5,13 @@ singular vectors come from a distributed randomised decomposition: every task ad
 A'(A W) for a fixed random W over its own passages, the sum is turned into singular
 vectors by the Nystroem formula on the driver, which only ever sees a matrix of fixed
 size. Passages and benchmark items meet in the latent space by cosine; what is close is
-compared by the weight of the item's words, then word by word: a document is contaminated when the longest common subsequence
+compared word by word: a document is contaminated when the longest common subsequence
 covers most of an item, or a smaller part of it with the item's ending (its answer) in
-place. Everything is narrow except the sums, whose size doesn't depend on the corpus.
+place. The cosine alone would miss items that fill only a part of a passage. So each item
+is also looked for by its rarest words (its anchors): so many of them that no stretch with
+fewer than a few can be a leak. Each stretch with that many is compared too, and every
+leak is found whatever its cosine: the cosine never rules one out. Everything is narrow except the sums, whose size
+doesn't depend on the corpus.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from .segments import ranges
 PASSAGE, STRIDE, RANK, DRAWN = 32, 16, 48, 64
 #: Least cosine of a candidate.
 COSINE = 0.65
-#: A passage on a leak has all of its item, or so many words of it, but for what the leak may lack.
-INSIDE, OVERLAP = 24, 0.5
+#: So many anchors of an item stand in every leak of it.
+ANCHORS = 4
 #: Share of an item's words, in order, that makes a leak: alone, or with as much of its ending.
 ALONE, WITH_ANSWER = 0.75, 0.55
 ANSWER_WORDS = 6
@@ -91,19 +95,25 @@ class Space:
         data, offsets = utf8(pa.array(texts, pa.string()))
         _, _, h, per_row = terms(data, offsets)
         self.vocabulary, column = np.unique(h, return_inverse=True)
+        self.item_words = np.split(column, np.cumsum(per_row)[:-1]) if len(per_row) else []
         self.column = (np.arange(len(self.vocabulary)) if len(self.vocabulary) <= COLUMNS else mix(self.vocabulary) % np.uint64(COLUMNS)).astype(np.int64)
         self.size = int(min(COLUMNS, max(1, len(self.vocabulary))))
         self.item_terms = np.split(self.column[column], np.cumsum(per_row)[:-1]) if len(per_row) else []
         self.idf = np.ones(self.size)
         self.random = np.random.default_rng(11).normal(size=(self.size, DRAWN)).astype(np.float32)
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words that the vocabulary has, and their columns."""
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words that the vocabulary has, and their places in it."""
         if not len(self.vocabulary):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         known = np.flatnonzero(self.vocabulary[at] == h)
-        return known, self.column[at[known]]
+        return known, at[known]
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words that the vocabulary has, and their columns."""
+        known, at = self.known(h)
+        return known, self.column[at]
 
     def latent(self, passage: np.ndarray, column: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
         """Rows of A @ matrix for n passages from (ascending passage, column) pairs; ``matrix`` has the idf in it."""
@@ -133,15 +143,25 @@ class Space:
         items = np.array(rows, np.float32).reshape(-1, RANK)
         self.items = (items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)).T.copy()
         self.owner = np.array(owner, np.int64)
-        # Which words an item has, and how much of their weight a passage must show.
-        self.has = np.zeros((len(self.item_terms), self.size), bool)
-        self.need = np.zeros(len(self.item_terms))
-        for k, own in enumerate(self.item_terms):
-            self.has[k, own] = True
-            self.need[k] = OVERLAP * self.idf[own].sum() * min(1.0, INSIDE / len(own))
-        self.least = self.need.min() if len(self.need) else np.inf
+        self.anchor()
         del self.random
 
+    def anchor(self) -> None:
+        """Anchors of each item by word. A leak lacks n - least words of an item at most, so of that many and ``met`` more it has ``met``."""
+        self.span = np.array([span_of(len(w)) for w in self.words], np.int64)
+        self.step = np.array([step_of(len(w)) for w in self.words], np.int64)
+        self.met = np.zeros(len(self.words), np.int64)
+        pairs = []
+        for k, own in enumerate(self.item_words):
+            n = len(own)
+            least = next(c for c in range(n + 1) if c / n >= min(ALONE, WITH_ANSWER))
+            self.met[k] = min(ANCHORS, least)
+            rarest = np.argsort(-self.idf[self.column[own]], kind="stable")[: n - least + self.met[k]]
+            pairs += [(w, k) for w in np.unique(own[rarest]).tolist()]
+        word, self.anchored = (np.array(x, np.int64) for x in zip(*sorted(pairs))) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.n_anchored = np.bincount(word, minlength=len(self.vocabulary))
+        self.first_anchored = np.cumsum(self.n_anchored) - self.n_anchored
+
 
 def passages(per_row: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first word and number of words of each passage; every word of a row is in one."""
@@ -214,88 +234,115 @@ def fit(docs: DataFrame, space: Space) -> Space:
     return space
 
 
-def search(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float = COSINE):
-    """(row, item, first word, last word + 1) of each passage close to an item, and the text's words."""
-    starts, ends, h, per_row = terms(data, offsets)
+def search(space: Space, k: np.ndarray, column: np.ndarray, per_row: np.ndarray, cosine: float = COSINE):
+    """(row, item, first word, words) of each passage close to an item; k and column are those of ``Space.hits``."""
     row, first, size = passages(per_row, STRIDE)
-    k, column = space.hits(h)
     # Words of overlapping passages, from the running numbers of known words.
     before, after = np.searchsorted(k, first), np.searchsorted(k, first + size)
-    # Passages without the weight that any item needs are out before they are compared.
-    mass = np.concatenate([[0.0], np.cumsum(space.idf[column])])
-    mass = mass[after] - mass[before]
-    live = np.flatnonzero(mass >= space.least)
-    need = space.need[space.owner]
+    live = np.flatnonzero(after > before)
     found = []
     for a in range(0, len(live), 1024):
         own = live[a : a + 1024]
         c = after[own] - before[own]
         at = ranges(before[own], c)
-        whose = np.repeat(np.arange(len(own)), c)
-        x = space.latent(whose, column[at], len(own), space.project)
+        x = space.latent(np.repeat(np.arange(len(own)), c), column[at], len(own), space.project)
         norm = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
-        p, q = np.nonzero((x @ space.items >= (cosine * norm)[:, None]) & (need[None, :] <= mass[own][:, None]))
-        if not len(p):
-            continue
-        item = space.owner[q]
-        pair = np.unique(p * len(space.ids) + item)
-        p, item = pair // len(space.ids), pair % len(space.ids)
-        words_of = ranges((np.cumsum(c) - c)[p], c[p])
-        shown = np.where(space.has[np.repeat(item, c[p]), column[at][words_of]], space.idf[column[at][words_of]], 0.0)
-        shown = np.add.reduceat(shown, np.cumsum(c[p]) - c[p])
-        good = shown >= space.need[item]
-        found.append((own[p[good]], item[good]))
+        p, q = np.nonzero(x @ space.items >= (cosine * norm)[:, None])
+        if len(p):
+            pair = np.unique(p * len(space.ids) + space.owner[q])
+            found.append((own[pair // len(space.ids)], pair % len(space.ids)))
     p, item = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return row, first, size, p, item, starts, ends, per_row
+    return row[p], item, first[p], size[p]
+
+
+def anchored(space: Space, k: np.ndarray, word: np.ndarray, per_row: np.ndarray):
+    """(row, item, first, last) of each shortest stretch with as many anchors of an item as a leak has; words count from the row's first."""
+    count = space.n_anchored[word]
+    item = space.anchored[ranges(space.first_anchored[word], count)]
+    row = np.repeat(np.repeat(np.arange(len(per_row)), per_row)[k], count)
+    place = np.repeat(k, count) - (np.cumsum(per_row) - per_row)[row]
+    own = row * len(space.ids) + item
+    order = np.argsort(own, kind="stable")
+    own, row, item, place = (x[order] for x in (own, row, item, place))
+    end = np.arange(len(own)) + space.met[item] - 1
+    inside = np.flatnonzero(end < len(own))
+    inside = inside[own[end[inside]] == own[inside]]
+    inside = inside[place[end[inside]] - place[inside] < space.span[item[inside]]]
+    return row[inside], item[inside], place[inside], place[end[inside]]
+
+
+def stretches(space: Space, k: np.ndarray, word: np.ndarray, per_row: np.ndarray, cosine: float = COSINE):
+    """(row, item, first word in the row) of each stretch to compare, of those that ``_best_share`` knows for a whole row."""
+    held = anchored(space, k, word, per_row)
+    row, item, first, size = search(space, k, space.column[word], per_row, cosine)
+    first = first - (np.cumsum(per_row) - per_row)[row]
+    # A leak holds an anchored stretch: without one in reach, a close passage isn't on a leak.
+    wide = int(per_row.max(initial=0)) + 1
+    place = (held[0] * len(space.ids) + held[1]) * wide + held[2]
+    own = (row * len(space.ids) + item) * wide
+    reach = space.span[item]
+    near = np.searchsorted(place, own + np.minimum(first + size + reach, wide - 1)) > np.searchsorted(place, own + np.maximum(first - reach, 0))
+    row, item, first, size = (x[near] for x in (row, item, first, size))
+    # Any stretch that touches a close passage, and those that hold all of an anchored one.
+    near = row, item, first - space.span[item] + 1, first + size - 1
+    row, item, first, last = held
+    row, item, low, high = (np.concatenate(x) for x in zip(near, (row, item, last - space.span[item] + 1, first)))
+    step = space.step[item]
+    low = -(-np.maximum(low, 0) // step)
+    high = np.minimum(high, np.maximum(1, per_row[row] - space.span[item] + step) - 1) // step
+    count = np.maximum(0, high - low + 1)
+    row, item, at = np.repeat(row, count), np.repeat(item, count), ranges(low, count)
+    if not len(row):
+        return row, item, at
+    wide = int(at.max()) + 1
+    pair, at = np.divmod(np.unique((row * len(space.ids) + item) * wide + at), wide)
+    row, item = np.divmod(pair, len(space.ids))
+    return row, item, at * space.step[item]
 
 
 def leaks(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float = COSINE) -> dict[int, list[tuple[int, float]]]:
     """By row, the items found in it and how much of each is there."""
-    row, first, size, p, item, starts, ends, per_row = search(space, data, offsets, cosine)
-    if not len(p):
-        return {}
+    starts, ends, h, per_row = terms(data, offsets)
+    row, item, at = stretches(space, *space.known(h), per_row, cosine)
     own_first = np.cumsum(per_row) - per_row
     text = _FOLD[data]
     cache: dict[int, list[str]] = {}
     best: dict[tuple[int, int], float] = {}
-    # One region for neighbouring candidate passages of the same row and item.
-    order = np.lexsort((first[p], item, row[p]))
-    p, item = p[order], item[order]
-    a = 0
-    while a < len(p):
-        r, i = int(row[p[a]]), int(item[a])
-        b = a
-        reach = len(space.words[i])
-        while b + 1 < len(p) and row[p[b + 1]] == r and item[b + 1] == i and first[p[b + 1]] - first[p[b]] <= STRIDE and first[p[b + 1]] - first[p[a]] <= 4 * (reach + PASSAGE):
-            b += 1
-        lo = max(int(own_first[r]), int(first[p[a]]) - reach)
-        hi = min(int(own_first[r] + per_row[r]), int(first[p[b]] + size[p[b]]) + reach)
+    for r, i, a in zip(row.tolist(), item.tolist(), at.tolist()):
         if r not in cache:
-            cache = {r: [text[s:e].tobytes().decode() for s, e in zip(starts[own_first[r] : own_first[r] + per_row[r]].tolist(), ends[own_first[r] : own_first[r] + per_row[r]].tolist())]}
-        region = cache[r][lo - int(own_first[r]) : hi - int(own_first[r])]
-        known = space.words[i]
-        share = _best_share(known, region)
+            own = slice(own_first[r], own_first[r] + per_row[r])
+            cache = {r: [text[s:e].tobytes().decode() for s, e in zip(starts[own].tolist(), ends[own].tolist())]}
+        share = _share(space.words[i], cache[r][a : a + int(space.span[i])])
         if share:
             best[r, i] = max(best.get((r, i), 0.0), share)
-        a = b + 1
     out: dict[int, list[tuple[int, float]]] = {}
     for (r, i), share in best.items():
         out.setdefault(r, []).append((space.ids[i], share))
     return out
 
 
+def span_of(n: int) -> int:
+    """Words of a stretch in which an item of n words is looked for."""
+    return n + max(4, n // 2)
+
+
+def step_of(n: int) -> int:
+    """Words between two such stretches."""
+    return max(1, n // 4)
+
+
+def _share(item: list[str], stretch: list[str]) -> float:
+    """The share of the item that stands in order in a stretch; 0 if it is no leak."""
+    n = len(item)
+    whole, tail = common_subsequence(item, stretch)
+    share = whole / n
+    return share if share >= ALONE or (share >= WITH_ANSWER and tail >= 0.8 * min(ANSWER_WORDS, n)) else 0.0
+
+
 def _best_share(item: list[str], region: list[str]) -> float:
     """The largest share of the item in order within a stretch of the region not much longer than the item; 0 if it is no leak."""
-    n = len(item)
-    span = n + max(4, n // 2)
-    best = 0.0
-    step = max(1, n // 4)
-    for a in range(0, max(1, len(region) - span + step), step):
-        whole, tail = common_subsequence(item, region[a : a + span])
-        share = whole / n
-        if share >= ALONE or (share >= WITH_ANSWER and tail >= 0.8 * min(ANSWER_WORDS, n)):
-            best = max(best, share)
-    return best
+    span, step = span_of(len(item)), step_of(len(item))
+    return max(_share(item, region[a : a + span]) for a in range(0, max(1, len(region) - span + step), step))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -284,6 +284,20 @@ def test_decontamination(spark):
     assert decontaminate.contamination(frame(spark, docs[:5]), benchmark.where("false")).where("contaminated").count() == 0
 
 
+def test_short_items_in_any_place_are_found(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(150)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, text(rng.randint(6, 20))) for k in range(25)]
+    docs = [(k * 100 + j, f"{text(40 + j)} {w} {text(60)}") for k, (_, w) in enumerate(items) for j in range(16)]
+    docs += [(5000 + k, " ".join(x if rng.random() < 0.8 else rng.choice(vocabulary) for x in f"{text(33)} {w} {text(50)}".split())) for k, w in items for _ in range(4)]
+    words = [decontaminate.cut_words(w) for _, w in items]
+    want = sorted((i, sum(decontaminate._best_share(w, decontaminate.cut_words(t)) > 0 for w in words)) for i, t in docs)
+    got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_items) for r in got) == want
+    assert all(n for i, n in want if i < 5000) and any(not n for i, n in want)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
