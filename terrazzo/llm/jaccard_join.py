@@ -11,6 +11,7 @@ all nodes agree on gives whole results. Large groups of near copies would still
 in quadratic numbers: so each node is first compared with one partner that many
 others meet too, and afterwards only pairs between different components of the links
 found are counted and compared, the closest of two components first. No link between components is missed.
+Links inside a component are not all looked at so; ``near_duplicates`` counts them on demand.
 """
 
 from __future__ import annotations
@@ -336,14 +337,18 @@ def _verify(pairs: DataFrame, rows: DataFrame, lead: DataFrame, groups: int) ->
     return found.groupBy("g").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, and n_links if ``count_links``.
 
     Words are lower-cased (A-Z). The set of a document holds its distinct five-word
     shingles, or its whole word sequence if it is shorter; without words it is empty
     and linked with nothing. component_id is the smallest doc_id reachable by links,
     its own included. Null texts are empty; null ids never are the smallest; repeated
     rows are each returned; an empty table gives no rows.
+
+    n_links is the number of other rows that a row is linked with, those of an equal set
+    included. For it all candidate pairs of different sets are compared, which grows with
+    the square of a group of near copies.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -367,22 +372,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Of each node the row whose text stands for it.
     lead = members.where("node <> 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_hash")).alias("row"), F.count("*").alias("n_rows"))
     lead = stage(lead.select("node", "row.id", "row.text_hash", "n_rows"), "lead")
-    links = stage(_verify(stage(_stars(shared), "stars"), rows, lead, groups), "links")
-    roots = connected_components(links)
-    pairs = stage(_between(shared, roots, buckets), "pairs")
-    for pick in (lambda: _closest(pairs, roots), lambda: _rooted(pairs, roots).select("a", "b")):
-        more = stage(_verify(stage(pick(), "picked"), rows, lead, groups), "links")
-        if not more.isEmpty():
-            roots = connected_components(roots.toDF("u", "v").union(more))
+    if count_links:
+        nobody = spark.createDataFrame([], "node long, root long")
+        links = stage(_verify(stage(_between(shared, nobody, buckets), "pairs"), rows, lead, groups), "links")
+        roots = connected_components(links)
+    else:
+        links = stage(_verify(stage(_stars(shared), "stars"), rows, lead, groups), "links")
+        roots = connected_components(links)
+        pairs = stage(_between(shared, roots, buckets), "pairs")
+        for pick in (lambda: _closest(pairs, roots), lambda: _rooted(pairs, roots).select("a", "b")):
+            more = stage(_verify(stage(pick(), "picked"), rows, lead, groups), "links")
+            if not more.isEmpty():
+                roots = connected_components(roots.toDF("u", "v").union(more))
 
     named = lead.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     id_ = F.when(F.col("id") != NULL_ID, F.col("id"))
     least = lead.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(id_).alias("component_id"))
-    named = stage(named.join(stage(least, "least"), "root").select("node", "n_rows", "component_id"), "named")
-    alone = members.where("node = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = named.join(stage(least, "least"), "root").select("node", "n_rows", "component_id")
+    more = []
+    if count_links:
+        both = links.union(links.select("v", "u")).toDF("node", "other").join(lead.select(F.col("node").alias("other"), F.col("n_rows").alias("n_other")), "other")
+        named = named.join(both.groupBy("node").agg(F.sum("n_other").alias("n_links")), "node", "left")
+        named = named.withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("n_rows") - 1)
+        more = ["n_links"]
+    named = stage(named, "named")
+    alone = members.where("node = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in more))
     linked = hot_join(members.where("node <> 0"), named, "node", "n_rows")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
-
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more).unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import brute
@@ -101,6 +102,19 @@ def test_jaccard_many_pairs_of_one_hub(spark, corpus, monkeypatch):
     assert by_id(jaccard_join.near_duplicates(frame(spark, corpus))) == brute.jaccard_components(corpus)
 
 
+def test_jaccard_counts_all_links(spark, corpus):
+    docs = corpus + [(200 + k, corpus[60][1]) for k in range(3)]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := common_words(t)) else set() for i, t in docs}
+    links = {i: sum(1 for j, b in sets.items() if j != i and a and 100 * len(a & b) >= 75 * len(a | b)) for i, a in sets.items()}
+    got = by_id(jaccard_join.near_duplicates(frame(spark, docs).repartition(4), count_links=True))
+    assert {i: r[:2] for i, r in got.items()} == brute.jaccard_components(docs)
+    assert {i: r[2] for i, r in got.items()} == links and max(links.values()) > 8
+
+
+def common_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 130)]
