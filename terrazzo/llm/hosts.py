@@ -18,6 +18,11 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 LIMIT, BOUND = 0.5, 1.64
 #: Least and greatest weight of the level above, in pages.
 STRENGTH = (2.0, 1000.0)
+#: Public suffixes of more than one name; of any other host the last name is the suffix.
+SUFFIXES = """
+    ac.jp ac.uk co.il co.in co.jp co.kr co.nz co.uk co.za com.ar com.au com.br com.cn com.hk com.mx com.sg com.tr
+    com.tw edu.au gov.au gov.uk ne.jp net.au net.br net.cn or.jp org.au org.br org.cn org.nz org.uk
+""".split()
 
 
 def host_of(url: Column) -> Column:
@@ -41,15 +46,15 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain, taken as the last three names where the last but one is ``example``, else the last two."""
-    names = F.split(host, r"\.")
-    last = F.when(F.element_at(names, -2) == "example", 3).otherwise(2)
-    return F.when(F.size(names) > 2, F.array_join(F.slice(names, -F.least(last, F.size(names)), last), ".")).otherwise(host)
+def suffix_of(host: Column) -> Column:
+    """One of SUFFIXES, else the last name."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column) -> Column:
+    """The registered domain: the suffix and one name before it."""
+    return F.when(F.substring_index(host, ".", -2).isin(SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def _strength(rates: DataFrame, mean: str) -> float:
@@ -65,43 +70,52 @@ def _strength(rates: DataFrame, mean: str) -> float:
     return min(high, max(low, 1 / rho - 1)) if rho > 0 else high
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """Posterior of each host that ``outcomes`` (host, bad 0/1) knows: host, n, bad, rate, lower, upper.
+def reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Posterior of each host that ``outcomes`` (host, bad 0/1) or ``hosts`` (host) knows: host, n, bad, rate, lower, upper.
 
-    ``bad`` null is left out. Hosts without labels are not listed; see ``judge``.
+    ``bad`` null is left out. A host without labels has n = 0 and the rate of its domain,
+    else of its suffix, else of all. Its bounds come from the least strength of the levels
+    from there down to it, for it may differ from that rate as much as they differ.
     """
-    known = outcomes.where(F.col("bad").isNotNull() & F.col("host").isNotNull())
-    hosts = known.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    known = outcomes.where(F.col("bad").isNotNull() & F.col("host").isNotNull()).select("host", F.col("bad").cast("long").alias("bad"))
+    labelled = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    labelled = labelled.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    total = labelled.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = (total["bad"] or 0) / total["n"] if total["n"] else 0.0
-    level = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    level = labelled.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     tops = level.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("above", F.lit(mean))
-    s = _strength(tops, "above")
-    tops = tops.select("suffix", ((F.col("bad") + F.lit(s * mean)) / (F.col("n") + F.lit(s))).alias("above"))
-    level = level.join(tops, "suffix")
-    s = _strength(level, "above")
-    level = level.select("domain", ((F.col("bad") + F.lit(s) * F.col("above")) / (F.col("n") + F.lit(s))).alias("above"))
-    hosts = hosts.join(level, "domain")
-    s = _strength(hosts, "above")
-    a = F.col("bad") + F.lit(s) * F.col("above")
-    b = F.col("n") - F.col("bad") + F.lit(s) * (1 - F.col("above"))
+    s_top = _strength(tops, "above")
+    tops = tops.select("suffix", ((F.col("bad") + F.lit(s_top * mean)) / (F.col("n") + F.lit(s_top))).alias("of_suffix"))
+    level = level.join(tops, "suffix").withColumnRenamed("of_suffix", "above")
+    s_level = _strength(level, "above")
+    level = level.select("domain", ((F.col("bad") + F.lit(s_level) * F.col("above")) / (F.col("n") + F.lit(s_level))).alias("of_domain"))
+    s = _strength(labelled.join(level, "domain").withColumnRenamed("of_domain", "above"), "above")
+    every = labelled.select("host", "n", "bad", "domain", "suffix")
+    if hosts is not None:
+        new = hosts.where("host IS NOT NULL AND host <> ''").select("host").distinct().join(labelled.select("host"), "host", "left_anti")
+        none = F.lit(0).cast("long")
+        every = every.unionByName(new.select("host", none.alias("n"), none.alias("bad"), domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")))
+    every = every.join(level, "domain", "left").join(tops, "suffix", "left")
+    above = F.coalesce("of_domain", "of_suffix", F.lit(mean))
+    weight = F.when(F.col("of_domain").isNotNull(), s).when(F.col("of_suffix").isNotNull(), min(s, s_level)).otherwise(min(s, s_level, s_top))
+    a = F.col("bad") + weight * above
+    b = F.col("n") - F.col("bad") + weight * (1 - above)
     rate = a / (a + b)
     spread = F.sqrt(rate * (1 - rate) / (a + b + 1)) * BOUND
-    return hosts.select("host", "n", "bad", rate.alias("rate"), (rate - spread).alias("lower"), (rate + spread).alias("upper"))
+    return every.select("host", "n", "bad", rate.alias("rate"), (rate - spread).alias("lower"), (rate + spread).alias("upper"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str]) -> DataFrame:
     """Judge each url: page_id, host, path, rule, verdict.
 
     The longest fitting rule decides; else a host is blocked when the lower bound of
-    its bad rate is above LIMIT (hosts without labelled pages are allowed). Only those
-    hosts are joined, as a set of names. A null url or one without :// has an empty
+    its bad rate is above LIMIT; hosts without labelled pages are judged by their domain
+    or suffix. Only those hosts are joined, as a set of names. A null url or one without :// has an empty
     host and path; repeated rows are each returned; an empty table gives no rows.
     """
     rows = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    bad = reputation(outcomes).where(F.col("lower") > LIMIT).select("host", F.lit("block").alias("reputed"))
+    bad = reputation(outcomes, rows.select("host")).where(F.col("lower") > LIMIT).select("host", F.lit("block").alias("reputed"))
     verdict = F.lit(None).cast("string")
     for rule, said in rules.items():
         verdict = F.when(F.col("rule") == rule, said).otherwise(verdict)

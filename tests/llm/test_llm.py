@@ -275,6 +275,16 @@ def test_hosts(spark):
     assert hosts.judge(pages, outcomes.where("false"), hosts.RULES).where("verdict = 'block'").count() == 3
 
 
+def test_hosts_without_labels_fall_back(spark):
+    urls = ["http://new.spam.com/a", "http://new.fine.com/a", "http://new.spam.co.uk/a", "http://new.fine.co.uk/a", "http://other.test/a", "nothing"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = [(f"{k}.{name}.{end}", bad) for k in range(4) for name, bad in (("spam", 1), ("fine", 0)) for end in ("com", "co.uk") for _ in range(20)]
+    outcomes = spark.createDataFrame([*outcomes, *[("x.bad.zip", 1)] * 90], "host string, bad int")
+    assert [r.verdict for r in hosts.judge(pages, outcomes, {}).orderBy("page_id").collect()] == ["block", "allow", "block", "allow", "allow", "allow"]
+    rates = {r.host: r for r in hosts.reputation(outcomes, spark.createDataFrame([("b.fine.co.uk",), ("y.new.zip",), ("0.spam.com",)], "host string")).collect()}
+    assert rates["b.fine.co.uk"].n == 0 and rates["b.fine.co.uk"].rate < 0.1 and rates["y.new.zip"].rate > 0.9 and rates["0.spam.com"].n == 20
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(600)]
