@@ -345,8 +345,9 @@ def _best_share(item: list[str], region: list[str]) -> float:
     return max(_share(item, region[a : a + span]) for a in range(0, max(1, len(region) - span + step), step))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, contaminated, n_items, item_id (the most complete), share.
+def contamination(docs: DataFrame, benchmark: DataFrame, hashes: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, contaminated, n_items, item_id (the most complete), share;
+    text_hash (xxhash64) too if ``hashes``.
 
     ``benchmark`` (item_id, text) is read in blocks of ITEMS, so that what every
     task holds is bounded. Items of fewer than LEAST_WORDS words, or without text,
@@ -380,14 +381,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     pa.array([len(x) for x in lists], pa.int64()),
                     pa.array([x[0][0] if x else None for x in lists], pa.int64()),
                     pa.array([x[0][1] if x else 0.0 for x in lists], pa.float64()),
+                    *part.columns[2:],
                 ],
-                ["doc_id", "contaminated", "n_items", "item_id", "share"],
+                ["doc_id", "contaminated", "n_items", "item_id", "share", *part.schema.names[2:]],
             )
 
-    return rows.mapInArrow(run, "doc_id long, contaminated boolean, n_items long, item_id long, share double")
+    schema = "doc_id long, contaminated boolean, n_items long, item_id long, share double"
+    if hashes:
+        rows, schema = rows.withColumn("text_hash", F.xxhash64("text")), schema + ", text_hash long"
+    return rows.mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id has no contaminated text; all columns stay."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct()
-    return docs.join(bad.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))) == F.col("_id"), "left_anti")
+    """The rows of ``docs`` whose text is not contaminated, told by doc_id and text; all columns stay."""
+    bad = contamination(docs, benchmark, hashes=True).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
+    return docs.join(bad.hint("merge"), same, "left_anti")

@@ -337,8 +337,9 @@ def _verify(pairs: DataFrame, rows: DataFrame, lead: DataFrame, groups: int) ->
     return found.groupBy("g").applyInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, and n_links if ``count_links``.
+def near_duplicates(docs: DataFrame, count_links: bool = False, hashes: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, and n_links if ``count_links``,
+    text_hash (xxhash64) if ``hashes``.
 
     Words are lower-cased (A-Z). The set of a document holds its distinct five-word
     shingles, or its whole word sequence if it is shorter; without words it is empty
@@ -396,17 +397,20 @@ def near_duplicates(docs: DataFrame, count_links: bool = False) -> DataFrame:
         named = named.withColumn("n_links", F.coalesce("n_links", F.lit(0)) + F.col("n_rows") - 1)
         more = ["n_links"]
     named = stage(named, "named")
-    alone = members.where("node = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in more))
+    own = ["text_hash"] if hashes else []
+    alone = members.where("node = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in more), *own)
     linked = hot_join(members.where("node <> 0"), named, "node", "n_rows")
-    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more).unionByName(alone)
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *more, *own).unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component (the smallest doc_id) and all that have no words; all columns stay.
 
-    Rows with an id that repeats on a text already kept are kept as they came.
+    What goes is decided by doc_id and text: rows whose id repeats, null ids included, don't
+    drag each other along. Rows that have the id that stays are all kept.
     """
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, hashes=True)
     gone = found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
-    gone = gone.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
+    return docs.join(gone.hint("merge"), same, "left_anti")

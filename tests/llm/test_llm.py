@@ -322,6 +322,17 @@ def test_short_items_in_any_place_are_found(spark):
     assert all(n for i, n in want if i < 5000) and any(not n for i, n in want)
 
 
+def test_bad_rows_leave_clean_rows_of_their_id(spark):
+    rng = random.Random(21)
+    one, two, three, item = prose(rng, 60), prose(rng, 50), prose(rng, 40), prose(rng, 20)
+    texts = lambda d: sorted((r.doc_id or 0, r.text) for r in d.select("doc_id", "text").collect())
+    near = frame(spark, [(1, one), (None, one + " again"), (None, two), (5, one + " more"), (5, three)])
+    assert texts(jaccard_join.drop_near_duplicates(near)) == sorted([(1, one), (0, two), (5, three)])
+    leaky = frame(spark, [(None, item + " x"), (None, two), (5, "y " + item), (5, three), (6, None)])
+    kept = decontaminate.drop_contaminated(leaky, spark.createDataFrame([(1, item), *((k, prose(rng, 40)) for k in range(2, 6))], "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, two), (5, three), (6, "")])
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
