@@ -371,8 +371,8 @@ def near_duplicates(docs: DataFrame, count_links: bool = False, hashes: bool = F
         shared = stage(_product(rows, _levels(value, n[first]), buckets), "shared")
 
     # Of each node the row whose text stands for it.
-    lead = members.where("node <> 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_hash")).alias("row"), F.count("*").alias("n_rows"))
-    lead = stage(lead.select("node", "row.id", "row.text_hash", "n_rows"), "lead")
+    lead = members.where("node <> 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_hash")).alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"))
+    lead = stage(lead.select("node", "row.id", "row.text_hash", "least_id", "n_rows"), "lead")
     if count_links:
         nobody = spark.createDataFrame([], "node long, root long")
         links = stage(_verify(stage(_between(shared, nobody, buckets), "pairs"), rows, lead, groups), "links")
@@ -387,8 +387,7 @@ def near_duplicates(docs: DataFrame, count_links: bool = False, hashes: bool = F
                 roots = connected_components(roots.toDF("u", "v").union(more))
 
     named = lead.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    id_ = F.when(F.col("id") != NULL_ID, F.col("id"))
-    least = lead.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(id_).alias("component_id"))
+    least = lead.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least_id").alias("component_id"))
     named = named.join(stage(least, "least"), "root").select("node", "n_rows", "component_id")
     more = []
     if count_links:

@@ -333,6 +333,13 @@ def test_bad_rows_leave_clean_rows_of_their_id(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, two), (5, three), (6, "")])
 
 
+def test_null_id_is_never_the_smallest(spark):
+    one = prose(random.Random(22), 60)
+    docs = frame(spark, [(3, one), (4, one.upper()), (None, one.replace(" ", "  ")), (9, one + " more")])
+    assert {r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == {3}
+    assert [r.doc_id for r in jaccard_join.drop_near_duplicates(docs).collect()] == [3]
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
