@@ -10,7 +10,7 @@ segments are compared window by window; what is a repeat goes back to its docume
 as intervals.
 
 Strings of a task and bucket are packed into one compressed value. Rows are known by
-doc_id and a short hash of the text, so that repeated ids don't mix.
+doc_id and a 64-bit hash of the text, so that repeated ids don't mix.
 """
 
 from __future__ import annotations
@@ -25,17 +25,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents_of, ready, slices, utf8
+from .common import documents_of, mix, ready, slices, utf8
 
 #: Bytes of text that are looked at together, that a task packs together, and that a bucket and a group of documents hold.
 PIECE, FLUSH, PER_BUCKET, PER_GROUP = 512 << 10, 8 << 20, 2 << 20, 8 << 20
 LEAST_BUCKETS = 64
 #: Of zstd.
 LEVEL = 6
-#: Bits of the hash of a text that tell rows with one doc_id apart.
-TAG = 8
 #: Order of a null doc_id: before every other.
 NULL_ID = -(1 << 63)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
@@ -107,6 +106,11 @@ def _prime(n: int) -> int:
     return n
 
 
+def _group(doc: np.ndarray, row: np.ndarray, groups: int) -> np.ndarray:
+    """Group of documents that finishes each row: rows with one id, null too, are dealt by their texts."""
+    return (mix(doc.view(np.uint64) * _ODD + row.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+
+
 def _pack_by(key: np.ndarray, arrays: list[np.ndarray]):
     """(value of key, packed rows) for each value."""
     order = np.argsort(key, kind="stable")
@@ -160,7 +164,7 @@ class _Sender:
         doc, row, start, count, bucket = (np.concatenate(x) for x in zip(*self.parts))
         which, strings, later, open_ = _merge(self.strings, doc, row, start, self.kind.within)
         k = np.flatnonzero(later)
-        for g, blob in _pack_by(doc[k] % self.groups, [doc[k], row[k], start[k], start[k] + count[k] + self.kind.size - 1]):
+        for g, blob in _pack_by(_group(doc[k], row[k], self.groups), [doc[k], row[k], start[k], start[k] + count[k] + self.kind.size - 1]):
             yield -1 - g, blob
         k = np.flatnonzero(open_)
         k = k[np.lexsort((which[k], bucket[k]))]
@@ -225,7 +229,7 @@ def _bucket(kind: Windows, groups: int, blobs: list[bytes]):
             found.append([doc[i], row[i], start[i] + offset[first], start[i] + offset[last] + kind.size])
     doc, row, a, b = (np.concatenate(x) for x in zip(*found))
     if len(doc):
-        yield from _pack_by(doc % groups, [doc, row, a, b])
+        yield from _pack_by(_group(doc, row, groups), [doc, row, a, b])
 
 
 def covered(length: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -242,7 +246,7 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(total / PER_BUCKET))
     groups = _prime(max(LEAST_BUCKETS, math.ceil(total / PER_GROUP)))
-    rows = rows.withColumn("row", F.xxhash64("text").bitwiseAND(F.lit((1 << TAG) - 1)))
+    rows = rows.withColumn("row", F.xxhash64("text"))
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
     def table(found) -> pa.RecordBatch:
@@ -289,5 +293,11 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
 
     sent = rows.select("doc_id", "text", "row").mapInArrow(send, "bucket long, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(compare, "part long, blob binary")
-    texts = rows.withColumn("part", F.pmod(F.coalesce("doc_id", F.lit(NULL_ID)), F.lit(groups)))
+
+    def dealt(batches):
+        for batch in batches:
+            part = _group(batch.column(0).fill_null(NULL_ID).to_numpy(), batch.column(2).to_numpy(), groups)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int64())], ["doc_id", "text", "row", "part"])
+
+    texts = rows.select("doc_id", "text", "row").mapInArrow(dealt, "doc_id long, text string, row long, part long")
     return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(finish, f"doc_id long, {kind.output}")

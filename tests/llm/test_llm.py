@@ -340,6 +340,17 @@ def test_null_id_is_never_the_smallest(spark):
     assert [r.doc_id for r in jaccard_join.drop_near_duplicates(docs).collect()] == [3]
 
 
+def test_many_texts_of_one_id_are_told_apart(spark):
+    rng = random.Random(23)
+    shared = prose(rng, 30)
+    texts = [f"{prose(rng, 5)} {k} {shared} {k}" for k in range(300)]
+    # Rows of one id and unlike texts don't repeat each other within op10: only those after another id do.
+    got = substring_dedup.remove_repeated_windows(frame(spark, [(None, t) for t in texts]).repartition(3)).collect()
+    assert len(got) == 300 and {r.n_removed for r in got} == {0}
+    got = substring_dedup.remove_repeated_windows(frame(spark, [(1, texts[0])] + [(2, t) for t in texts[1:]])).collect()
+    assert sorted(r.n_removed for r in got) == [0] + [30] * 299
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
