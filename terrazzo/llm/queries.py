@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, exact_dedup, hosts, jaccard_join, language, quality, substring_dedup, suffix_dedup, toxicity
 from .common import read
@@ -52,6 +53,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+    # One row per row of the table again, in two steps so that no list is long.
+    out = out.withColumn("some", F.explode(F.expr("sequence(0L, (n_rows - 1) div 4096)")))
+    out = out.withColumn("one", F.explode(F.expr("sequence(1L, least(4096L, n_rows - 4096 * some))")))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from terrazzo.llm import bpe, common, components, decontaminate, exact_dedup, hosts, jaccard_join, language, quality, substring_dedup, suffix_dedup, toxicity
-from terrazzo.llm.queries import tokenizer_path
+from terrazzo.llm.queries import op9_exact_dedup, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row long, part int, node int, score int"
 WORDS = "the of and with river stone apple green walk under blue seven house light paper cloud metal north sound little".split()
@@ -340,6 +340,13 @@ def test_null_id_is_never_the_smallest(spark):
     assert [r.doc_id for r in jaccard_join.drop_near_duplicates(docs).collect()] == [3]
 
 
+def test_exact_query_gives_each_row(spark, tmp_path):
+    rows = [(1, "a")] * 5000 + [(2, "a"), (3, "b"), (3, "b"), (None, None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9_exact_dedup(spark, str(tmp_path)).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert {tuple(r) for r in got} == {(1, 2, 5001, False, 5000), (2, 2, 5001, True, 1), (3, 3, 2, True, 2), (None, None, 1, True, 1)}
+
+
 def test_many_texts_of_one_id_are_told_apart(spark):
     rng = random.Random(23)
     shared = prose(rng, 30)
