@@ -1,14 +1,13 @@
-"""Removal of long repeated byte strings by prefix-free parsing and suffix arrays.
-
-Rolling-hash triggers (places where a hash of ``TRIGGER`` bytes is the smallest of
-its neighbourhood) cut each text into phrases. A phrase is kept with the bytes that
-a window beginning in it may still need, so no window crosses out of its phrase.
-The distinct phrases are the dictionary; the parse is the list of phrases by
-document. Both are dealt by the phrase's trigger, which equal windows share. In each
-part the suffixes of the dictionary are sorted (only suffixes of at least ``LENGTH``
-bytes, to that depth), and the occurrences that the parse has of each phrase put the
-documents into that order: the runs of equal suffixes with the smallest document of
-each. Repetitive text costs little, as a phrase is sorted once however often it occurs.
+"""Removal of long repeated byte strings by minimiser partitioning and suffix sorting.
+
+Rolling-hash minimisers (the smallest hash of ``TRIGGER`` bytes in a window) cut each
+text into segments: runs of ``LENGTH``-byte windows with one minimiser, so that no window
+crosses out of its segment. Segments are dealt by minimiser, which equal windows share
+(see ``segments``). In each part the suffixes of the distinct segments that have at least
+``LENGTH`` bytes are sorted to that depth; each run of equal ones has a smallest document.
+This stands in place of prefix-free parsing: no suffix array of a parse is built and
+nothing is combined into corpus order, as only the equality of windows is needed.
+Repetitive text costs little, as a segment is sorted once however often a part has it.
 """
 
 from __future__ import annotations
