@@ -6,11 +6,16 @@ summed over the blocks, and pairs whose sum can't reach the overlap that their
 sizes call for are discarded; the rest are compared in full.
 
 Documents with equal sets are one row of the matrix (a node). Of each node only the
-rarest shingles enter, as many as two linked nodes must share one of; any order that
-all nodes agree on gives whole results. Large groups of near copies would still meet
-in quadratic numbers: so each node is first compared with one partner that many
-others meet too, and afterwards only pairs between different components of the links
-found are counted and compared, the closest of two components first. No link between components is missed.
+rarest shingles enter, as many as two linked nodes must share one of. How rare a
+shingle is, a sketch of fixed size says, in which the shingles of all nodes are
+counted; any order that all nodes agree on gives whole results.
+
+Large groups of near copies would still meet in quadratic numbers: so each node is
+first compared with one partner that many others meet too, and afterwards only pairs
+between different components of the links found are counted and compared, the closest
+of two components first. Before it is counted, a pair has to pass two more bounds: from
+how many of the rarest shingles stand in no other node, and from bitmaps of both sets,
+where bits that differ stand for shingles that differ. No link between components is missed.
 Links inside a component are not all looked at so; ``near_duplicates`` counts them on demand.
 """
 
@@ -23,19 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import documents_of, hot_join, mix, powers, ready, slices, stage, utf8, word_hashes, words
-from .components import connected_components
 from .segments import FLUSH, LEAST_BUCKETS, NULL_ID, _pack, _unpack, ranges
 from .toxicity import lower
 
 SHINGLE = 5
 #: Linked when 100 * overlap >= PERCENT * union.
 PERCENT = 75
-#: Common shingles that are told to every task, how many a task may name, and how many nodes must share one.
-HOT, HOT_PER_FLUSH, LEAST_HOT = 1 << 18, 1 << 14, 4
-#: Bits of a shingle's hash that name it; its level stands above them.
-NAME = (1 << 59) - 1
-PIECE, PER_BUCKET, PER_GROUP, PER_HUB = 1 << 20, 2 << 20, 4 << 20, 256
+#: Counters of shingles, whatever the corpus, and the rows that their sums travel in. Shingles that share a counter only look commoner.
+COUNTERS, PARTS = 1 << 22, 64
+#: Bits of a shingle's hash that name it; how common it is stands above them. Shingles that share a name only add pairs to compare.
+NAME_BITS = 48
+#: Bits of a node's bitmap: at least so many for each shingle, a power of two, within limits.
+BITS, LEAST_BITS, MOST_BITS = 3, 64, 4096
+PIECE, PER_BUCKET, PER_GROUP, PER_HUB = 512 << 10, 2 << 20, 4 << 20, 256
 #: So many (node, pair) rows of some 50 bytes may be sent to every task.
 SENT_ROWS = 250_000
 _Q = np.uint64(0xA0761D6478BD642F)
@@ -84,82 +91,139 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - (-(-PERCENT * n // 100)) + 1
 
 
-def _survey(rows: DataFrame) -> DataFrame:
-    """kind 0: doc_id, node, n and text hash of each row; kind 1: a shingle that is common in its task, how often."""
+def widths(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of n shingles."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(1, BITS * n))).astype(np.int64), LEAST_BITS, MOST_BITS)
+
+
+def bitmaps(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Of each set, a bit for each hash modulo its width: whether an odd number of shingles fall on it."""
+    width = widths(sizes)
+    ends = np.cumsum(width)
+    at = np.repeat(ends - width, sizes) + (sets & np.repeat(width - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip(((ends - width) >> 3).tolist(), (ends >> 3).tolist())]
+
+
+class Bitmaps:
+    """Bitmaps of a block's nodes, folded to the smaller width when two are compared."""
+
+    def __init__(self, bits: list[bytes]):
+        width = np.array([8 * len(b) for b in bits], np.int64)
+        self.width = width
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(width).tolist():
+            own, double = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            both = np.frombuffer(b"".join(bits[k] for k in [*own.tolist(), *double.tolist()]), np.uint64)
+            rows = both[: len(own) * (w // 64)].reshape(-1, w // 64)
+            wide = both[len(own) * (w // 64) :].reshape(-1, 2, w // 64)
+            slot = np.full(len(width), -1, np.int64)
+            slot[own] = np.arange(len(own))
+            slot[double] = len(own) + np.arange(len(double))
+            self.of[w] = slot, np.concatenate([rows, wide[:, 0] ^ wide[:, 1]])
+
+    def differing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """No more than the number of shingles that only one of two nodes has; widths may differ by one step (sizes of linked sets do not differ more)."""
+        out = np.zeros(len(x), np.int64)
+        width = np.minimum(self.width[x], self.width[y])
+        for w in np.unique(width).tolist():
+            own = np.flatnonzero((width == w) & (np.maximum(self.width[x], self.width[y]) <= 2 * w))
+            slot, rows = self.of[w]
+            step = max(1, (1 << 20) // w)
+            for k in range(0, len(own), step):
+                at = own[k : k + step]
+                out[at] = np.bitwise_count(rows[slot[x[at]]] ^ rows[slot[y[at]]]).sum(axis=1)
+        return out
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
 
-        def common():
-            value, n = np.unique(np.concatenate(held), return_counts=True)
-            top = np.flatnonzero(n > 1)
-            top = top[np.argsort(-n[top], kind="stable")[:HOT_PER_FLUSH]]
-            k = len(top)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int64)), pa.array(value[top].view(np.int64)), pa.array(n[top]), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, np.int64))], ["kind", "a", "b", "c", "d"])
+def _survey(rows: DataFrame) -> DataFrame:
+    """kind 0: doc_id, node, n, text hash of each row and, once for a task's rows with one node, its bitmap; kind 1: a part of a task's counters."""
 
+    def run(batches):
+        names = ["kind", "a", "b", "c", "d", "blob"]
+        counter = np.zeros(COUNTERS, np.uint32)
+        done: set[int] = set()
         for part in slices(batches, PIECE):
             sets, sizes = shingle_sets(*utf8(part.column(1)))
             nodes = node_numbers(sets, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(nodes), np.int64)), part.column(0), pa.array(nodes), pa.array(sizes.astype(np.int64)), part.column(2)], ["kind", "a", "b", "c", "d"])
-            _, lead = np.unique(nodes, return_index=True)  # equal sets of a piece count once
+            fresh = np.array([k for k, x in enumerate(nodes.tolist()) if x and x not in done and not done.add(x)], np.int64)
             ends = np.cumsum(sizes)
-            held.append(sets[ranges((ends - sizes)[lead], sizes[lead])])
-            size += len(held[-1])
-            if size > FLUSH // 6:
-                yield common()
-                held, size = [], 0
-        if held:
-            yield common()
+            sets = sets[ranges((ends - sizes)[fresh], sizes[fresh])]  # equal sets of a task count once
+            np.add.at(counter, (sets >> np.uint64(20)) & np.uint64(COUNTERS - 1), np.uint32(1))
+            bits: list[bytes | None] = [None] * len(nodes)
+            for k, own in zip(fresh.tolist(), bitmaps(sets, sizes[fresh])):
+                bits[k] = own
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(nodes), np.int64)), part.column(0), pa.array(nodes), pa.array(sizes.astype(np.int64)), part.column(2), pa.array(bits, pa.binary())], names)
+            if len(done) > 1 << 18:  # what is counted once more only looks commoner
+                done.clear()
+        each = COUNTERS // PARTS
+        blobs = []
+        for k in range(PARTS):
+            own = counter[k * each : (k + 1) * each]
+            at = np.flatnonzero(own)
+            blobs.append(_pack([at, own[at]], rising=1) if len(at) else None)
+        zeros = pa.array(np.zeros(PARTS, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(PARTS, np.int64)), pa.array(np.arange(PARTS)), zeros, zeros, zeros, pa.array(blobs, pa.binary())], names)
+
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "kind long, a long, b long, c long, d long, blob binary")
 
-    return rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "kind long, a long, b long, c long, d long")
 
+def _levels(survey: DataFrame) -> np.ndarray:
+    """How common the shingles of each counter are in all nodes: 16 bits each, on a scale of logarithms."""
 
-def _incidence(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """(bucket, packed shingle, node, set size, place in the node's order) of the rarest shingles of each node."""
-    sent = rows.sparkSession.sparkContext.broadcast(hot)  # HOT pairs of numbers at most
+    def add(key, found):
+        total = np.zeros(COUNTERS // PARTS, np.int64)
+        for blob in found.column("blob").to_pylist():
+            (at, n), _ = _unpack(blob)
+            total[at] += n
+        level = (np.log2(1.0 + total) * 1024).astype(np.uint16)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([level.tobytes()], pa.binary())], names=["part", "level"])
+
+    parts = survey.where("kind = 1 AND blob IS NOT NULL").select(F.col("a").alias("part"), "blob").groupBy("part").applyInArrow(add, "part long, level binary").toArrow()
+    out = np.zeros((PARTS, COUNTERS // PARTS), np.uint16)
+    for k, level in zip(parts.column("part").to_pylist(), parts.column("level").to_pylist()):
+        out[k] = np.frombuffer(level, np.uint16)
+    return out.reshape(-1)
+
+
+def _incidence(rows: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
+    """(bucket, packed shingle, node, set size, how common the last of them is) of the rarest shingles of each node."""
+    sent = rows.sparkSession.sparkContext.broadcast(levels)  # 2 * COUNTERS bytes
 
     def run(batches):
-        common, level = sent.value
+        level = sent.value
         held: list[list[np.ndarray]] = []
         done: set[int] = set()
         size = 0
 
         def packed():
-            key, node, n, place = (np.concatenate(x) for x in zip(*held))
+            key, node, n, reach = (np.concatenate(x) for x in zip(*held))
             bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            key, node, n, place, bucket = (x[order] for x in (key, node, n, place, bucket))
+            key, node, n, reach, bucket = (x[order] for x in (key, node, n, reach, bucket))
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            out = [(int(bucket[a]), _pack([node[a:b], key[a:b].view(np.int64), n[a:b], place[a:b]])) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+            out = [(int(bucket[a]), _pack([node[a:b], key[a:b].view(np.int64), n[a:b], reach[a:b]])) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["bucket", "blob"])
 
         for part in slices(batches, PIECE):
             data, offsets = utf8(part.column(1))
             sets, sizes = shingle_sets(data, offsets)
             nodes = node_numbers(sets, sizes)
-            ends = np.cumsum(sizes)
-            fresh = []
-            for k, node in enumerate(nodes.tolist()):
-                if node and node not in done:
-                    done.add(node)
-                    fresh.append(k)
-            fresh = np.array(fresh, np.int64)
+            fresh = np.array([k for k, x in enumerate(nodes.tolist()) if x and x not in done and not done.add(x)], np.int64)
             size += len(data)
             if len(fresh):
                 n = sizes[fresh].astype(np.int64)
+                ends = np.cumsum(sizes)
                 value = sets[ranges((ends - sizes)[fresh], n)]
-                key = value >> np.uint64(5)
+                key = level[(value >> np.uint64(20)) & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(NAME_BITS)
+                key |= value >> np.uint64(64 - NAME_BITS)
                 cuts = np.concatenate([[0], np.cumsum(n)])
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-                    known = common[at] == key
-                    key[known] |= level[at[known]] << np.uint64(59)
-                    for k in np.flatnonzero(np.add.reduceat(known, cuts[:-1]) > 0).tolist():
-                        key[cuts[k] : cuts[k + 1]].sort()
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    key[a:b].sort()
                 short = prefix_size(n)
-                at = ranges(cuts[:-1], short)
-                held.append([key[at], np.repeat(nodes[fresh], short), np.repeat(n, short), ranges(np.zeros(len(short), np.int64), short)])
+                reach = (key[cuts[:-1] + short - 1] >> np.uint64(NAME_BITS)).astype(np.int64)
+                held.append([key[ranges(cuts[:-1], short)], np.repeat(nodes[fresh], short), np.repeat(n, short), np.repeat(reach, short)])
             if size >= FLUSH and held:
                 yield packed()
                 held, size = [], 0
@@ -172,42 +236,44 @@ def _incidence(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int
 
 def _shared(key, found):
     """Of one block, the shingles that more than one node has."""
-    node, key, n, place = (np.concatenate(x) for x in zip(*(_unpack(b)[0] for b in found.column("blob").to_pylist())))
+    node, key, n, reach = (np.concatenate(x) for x in zip(*(_unpack(b)[0] for b in found.column("blob").to_pylist())))
     order = np.lexsort((node, key))
-    key, node, n, place = (x[order] for x in (key, node, n, place))
+    key, node, n, reach = (x[order] for x in (key, node, n, reach))
     first = np.ones(len(key), bool)
     first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, n, place = (x[first] for x in (key, node, n, place))
+    key, node, n, reach = (x[first] for x in (key, node, n, reach))
     many = np.zeros(len(key), bool)
     many[1:] = key[1:] == key[:-1]
     many[:-1] |= many[1:]
-    key, node, n, place = (x[many] for x in (key, node, n, place))
+    key, node, n, reach = (x[many] for x in (key, node, n, reach))
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
     run = np.cumsum(head) - 1
     met = np.bincount(run)[run] if len(run) else run
-    return pa.table([pa.array(x) for x in (key, node, n, place, met)], names=["shingle", "node", "n", "place", "met"])
-
+    return pa.table([pa.array(x) for x in (key, node, n, reach, met)], names=["shingle", "node", "n", "reach", "met"])
 
-def _levels(value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, ascending, and the level of each: the more documents have it, the later it stands."""
-    order = np.argsort(value)
-    return value[order], np.minimum(31, 1 + np.log2(n[order])).astype(np.uint64)
 
+def _behind(n: str):
+    """Shingles of a set that don't enter the product."""
+    return F.ceil(F.lit(PERCENT) * F.col(n) / 100) - 1
 
-def _product(rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    return _incidence(rows, hot, buckets).groupBy("bucket").applyInArrow(_shared, "shingle long, node long, n long, place long, met long")
 
+def _product(rows: DataFrame, levels: np.ndarray, buckets: int) -> DataFrame:
+    """(shingle, node, n, reach, most, weight) of each shingle that several nodes have among their rarest.
 
-def _may_link(na, nb, pa_, pb) -> np.ndarray:
-    """Size bound, and that before and behind the places of a shared shingle enough others are left."""
-    return (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= needed(na, nb))
+    ``reach``: how common the last of the node's rarest shingles is. ``most``: the largest
+    overlap that the node can have with one that reaches farther, as those of its rarest
+    shingles that nobody shares are not in such a node. ``weight``: how many others its
+    shingles meet.
+    """
+    shared = stage(_incidence(rows, levels, buckets).groupBy("bucket").applyInArrow(_shared, "shingle long, node long, n long, reach long, met long"), "met")
+    nodes = shared.groupBy("node").agg((F.count(F.lit(1)) + F.first(_behind("n"))).alias("most"), F.sum("met").alias("weight"))
+    return stage(shared.drop("met").join(nodes, "node"), "shared")
 
 
 def _enough(c, na: str, nb: str):
     """Whether c shared ones among the rarest leave a link possible: the others lie behind the end of one of the two."""
-    behind = F.greatest(F.floor(F.lit(PERCENT) * F.col(na) / 100), F.floor(F.lit(PERCENT) * F.col(nb) / 100))
-    return c + behind >= F.ceil(F.lit(PERCENT) * (F.col(na) + F.col(nb)) / (100 + PERCENT))
+    return c + F.greatest(_behind(na), _behind(nb)) >= F.ceil(F.lit(PERCENT) * (F.col(na) + F.col(nb)) / (100 + PERCENT))
 
 
 def _stars(shared: DataFrame) -> DataFrame:
@@ -216,8 +282,7 @@ def _stars(shared: DataFrame) -> DataFrame:
     The hub of a shingle is its node that meets most others in all: of near copies,
     likely the one closest to their source.
     """
-    weight = shared.groupBy("node").agg(F.sum("met").alias("weight"))
-    hub = shared.join(weight, "node").groupBy("shingle").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
+    hub = shared.groupBy("shingle").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
     pairs = shared.join(stage(hub.select("shingle", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs"), "shingle")
     pairs = pairs.where((F.col("hub") != F.col("node")) & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")))
     pairs = pairs.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.first("hub_n").alias("na"), F.first("n").alias("nb"))
@@ -239,57 +304,69 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("ra <> rb")
 
 
-def _between(shared: DataFrame, roots: DataFrame, buckets: int) -> DataFrame:
+def block_pairs(shingle, node, n, reach, most, root, bits: list[bytes]):
+    """(a, b, c, na, nb): how many of a block's shingles two nodes of different components share, if their sizes, ``most`` (see ``_product``) and bitmaps let them be linked."""
+    order = np.lexsort((n, root, shingle))
+    shingle, node, n, reach, most, root = (x[order] for x in (shingle, node, n, reach, most, root))
+    _, first, number = np.unique(node, return_index=True, return_inverse=True)
+    maps = Bitmaps([bits[k] for k in order[first].tolist()])
+    edge = np.append(shingle[1:] != shingle[:-1], True)
+    ends = np.flatnonzero(edge) + 1
+    own = np.flatnonzero(edge | np.append(root[1:] != root[:-1], True)) + 1
+    # Each row meets the rows of its shingle behind those of its own component.
+    last = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+    begin = np.repeat(own, np.diff(np.concatenate([[0], own])))
+    total = np.concatenate([[0], np.cumsum(last - begin)])
+    out: list[tuple[np.ndarray, ...]] = []
+    held = 0
+
+    def counted():
+        a, b, c, na, nb = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((b, a))
+        a, b, c, na, nb = (x[order] for x in (a, b, c, na, nb))
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return a[head], b[head], np.add.reduceat(c, head), na[head], nb[head]
+
+    k = 0
+    while k < len(node):
+        stop = max(k + 1, int(np.searchsorted(total, total[k] + (1 << 18), "right")) - 1)
+        here = np.arange(k, stop)
+        count = (last - begin)[here]
+        x, y = np.repeat(here, count), ranges(begin[here], count)
+        k = stop
+        na, nb = n[x], n[y]
+        bound = np.where(reach[x] < reach[y], most[x], np.where(reach[x] > reach[y], most[y], np.maximum(most[x], most[y])))
+        good = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (bound >= needed(na, nb))
+        x, y = x[good], y[good]
+        if len(x):
+            na, nb = n[x], n[y]
+            good = na + nb - maps.differing(number[x], number[y]) >= 2 * needed(na, nb)
+            x, y = x[good], y[good]
+        if len(x):
+            swap = node[x] > node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            out.append((node[x], node[y], np.ones(len(x), np.int64), n[x], n[y]))
+            held += len(x)
+            if held > 1 << 20:
+                out = [counted()]
+                held = len(out[0][0])
+    return counted() if out else (np.zeros(0, np.int64),) * 5
+
+
+def _between(shared: DataFrame, roots: DataFrame, survey: DataFrame, buckets: int) -> DataFrame:
     """Pairs of nodes of different components whose summed overlap counts still let them be linked."""
-    rows = shared.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("shingle"), F.lit(buckets)))
+    rows = shared.drop("weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
+    rows = stage(rows.join(mixed, "shingle", "left_semi"), "mixed")
+    bits = survey.where("kind = 0 AND blob IS NOT NULL").select(F.col("b").alias("node"), "blob")
+    bits = bits.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("bits"))
+    rows = rows.join(bits, "node").withColumn("bucket", F.pmod(F.xxhash64("shingle"), F.lit(buckets)))
 
     def run(key, found):
-        shingle, node, n, place, root = (found.column(c).to_numpy() for c in ("shingle", "node", "n", "place", "root"))
-        order = np.lexsort((n, shingle))
-        shingle, node, n, place, root = (x[order] for x in (shingle, node, n, place, root))
-        ends = np.flatnonzero(np.append(shingle[1:] != shingle[:-1], True)) + 1
-        begins = np.concatenate([[0], ends[:-1]])
-        mixed = np.repeat(np.minimum.reduceat(root, begins) < np.maximum.reduceat(root, begins), ends - begins)
-        shingle, node, n, place, root = (x[mixed] for x in (shingle, node, n, place, root))
-        ends = np.flatnonzero(np.append(shingle[1:] != shingle[:-1], True)) + 1 if len(shingle) else np.zeros(0, np.int64)
-        # Each row meets the rows after it that share its shingle and are not too large.
-        last = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-        out: list[tuple[np.ndarray, ...]] = []
-        held = 0
-
-        def counted():
-            a, b, c, na, nb = (np.concatenate(x) for x in zip(*out))
-            order = np.lexsort((b, a))
-            a, b, c, na, nb = (x[order] for x in (a, b, c, na, nb))
-            head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            return a[head], b[head], np.add.reduceat(c, head), na[head], nb[head]
-
-        per = np.maximum(1, last - np.arange(len(node)) - 1)
-        k = 0
-        while k < len(node):
-            stop = max(k + 1, int(np.searchsorted(np.cumsum(per[k:]), 1 << 18)) + k)
-            here = np.arange(k, stop)
-            count = last[here] - here - 1
-            x = np.repeat(here, count)
-            y = ranges(here + 1, count)
-            k = stop
-            good = root[x] != root[y]
-            x, y = x[good], y[good]
-            good = _may_link(n[x], n[y], place[x], place[y])
-            x, y = x[good], y[good]
-            if len(x):
-                swap = node[x] > node[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                out.append((node[x], node[y], np.ones(len(x), np.int64), n[x], n[y]))
-                held += len(x)
-                if held > 1 << 20:
-                    out = [counted()]
-                    held = len(out[0][0])
-        a, b, c, na, nb = counted() if out else [np.zeros(0, np.int64)] * 5
-        return pa.table([pa.array(v) for v in (a, b, c, na, nb)], names=["a", "b", "c", "na", "nb"])
-
-    pairs = rows.select("bucket", "shingle", "node", "n", "place", "root").groupBy("bucket").applyInArrow(run, "a long, b long, c long, na long, nb long")
+        columns = [found.column(c).to_numpy() for c in ("shingle", "node", "n", "reach", "most", "root")]
+        return pa.table([pa.array(v) for v in block_pairs(*columns, found.column("bits").to_pylist())], names=["a", "b", "c", "na", "nb"])
+
+    pairs = rows.select("bucket", "shingle", "node", "n", "reach", "most", "root", "bits").groupBy("bucket").applyInArrow(run, "a long, b long, c long, na long, nb long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return pairs.where(_enough(F.col("c"), "na", "nb")).select("a", "b", "c")
 
@@ -358,29 +435,19 @@ def near_duplicates(docs: DataFrame, count_links: bool = False, hashes: bool = F
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, groups = (max(LEAST_BUCKETS, math.ceil(total / per)) for per in (PER_BUCKET, PER_GROUP))
     members = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"), F.col("d").alias("text_hash"))
-    common = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(HOT).toArrow()
-    value, n = common.column("a").to_numpy().view(np.uint64) >> np.uint64(5), common.column("n").to_numpy()
-    shared = stage(_product(rows, _levels(value, n), buckets), "shared")
-    # The first product knows how many nodes really share each shingle: order by that.
-    met = shared.where(F.col("met") >= LEAST_HOT).select(F.col("shingle").bitwiseAND(F.lit(NAME)).alias("value"), "met")
-    known = met.groupBy("value").agg(F.max("met").alias("n")).orderBy(F.desc("n"), "value").limit(HOT).toArrow()
-    if known.num_rows:
-        value = np.concatenate([known.column("value").to_numpy().astype(np.uint64), value])
-        n = np.concatenate([known.column("n").to_numpy(), n])
-        value, first = np.unique(value, return_index=True)
-        shared = stage(_product(rows, _levels(value, n[first]), buckets), "shared")
+    shared = _product(rows, _levels(survey), buckets)
 
     # Of each node the row whose text stands for it.
     lead = members.where("node <> 0").groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_hash")).alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows"))
     lead = stage(lead.select("node", "row.id", "row.text_hash", "least_id", "n_rows"), "lead")
     if count_links:
         nobody = spark.createDataFrame([], "node long, root long")
-        links = stage(_verify(stage(_between(shared, nobody, buckets), "pairs"), rows, lead, groups), "links")
+        links = stage(_verify(stage(_between(shared, nobody, survey, buckets), "pairs"), rows, lead, groups), "links")
         roots = connected_components(links)
     else:
         links = stage(_verify(stage(_stars(shared), "stars"), rows, lead, groups), "links")
         roots = connected_components(links)
-        pairs = stage(_between(shared, roots, buckets), "pairs")
+        pairs = stage(_between(shared, roots, survey, buckets), "pairs")
         for pick in (lambda: _closest(pairs, roots), lambda: _rooted(pairs, roots).select("a", "b")):
             more = stage(_verify(stage(pick(), "picked"), rows, lead, groups), "links")
             if not more.isEmpty():

@@ -7,7 +7,8 @@ import brute
 import numpy as np
 import pytest
 
-from terrazzo.llm import bpe, common, components, decontaminate, exact_dedup, hosts, jaccard_join, language, quality, substring_dedup, suffix_dedup, toxicity
+from terrazzo.llm import bpe, common, decontaminate, exact_dedup, hosts, jaccard_join, language, quality, substring_dedup, suffix_dedup, toxicity
+from terrazzo.operators import components
 from terrazzo.llm.queries import op9_exact_dedup, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row long, part int, node int, score int"
@@ -96,6 +97,31 @@ def test_jaccard_against_brute_force(spark, corpus):
     assert by_id(jaccard_join.near_duplicates(frame(spark, corpus).repartition(4))) == brute.jaccard_components(corpus)
 
 
+def test_jaccard_group_of_unlike_near_copies(spark):
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    docs = []
+    for k in range(160):  # some linked to many, some to few, some to none, and of several sizes
+        words = [w if rng.random() > (k % 8) * 0.01 else f"v{rng.randrange(10**6)}" for w in base[: 120 - k % 5 * 6]]
+        docs.append((k, " ".join(words)))
+    want = brute.jaccard_components(docs)
+    assert 8 < len({c for _, c in want.values()}) < 120
+    assert by_id(jaccard_join.near_duplicates(frame(spark, docs).repartition(5))) == want
+
+
+def test_bitmaps_never_overstate():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (1, 5, 21, 22, 100, 130, 170, 900, 1700):
+        base = rng.integers(0, 1 << 63, 4 * n).astype(np.uint64)
+        sets += [np.unique(rng.choice(base, m, replace=False)) for m in (n, n, -(-3 * n // 4))]
+    bits = jaccard_join.Bitmaps(jaccard_join.bitmaps(np.concatenate(sets), np.array([len(x) for x in sets])))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)):
+                assert bits.differing(np.array([i]), np.array([j]))[0] <= len(np.setxor1d(a, b))
+
+
 def test_jaccard_many_pairs_of_one_hub(spark, corpus, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PER_HUB", 2)
     monkeypatch.setattr(jaccard_join, "SENT_ROWS", 0)
