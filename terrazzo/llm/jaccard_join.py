@@ -276,20 +276,6 @@ def _enough(c, na: str, nb: str):
     return c + F.greatest(_behind(na), _behind(nb)) >= F.ceil(F.lit(PERCENT) * (F.col(na) + F.col(nb)) / (100 + PERCENT))
 
 
-def _stars(shared: DataFrame) -> DataFrame:
-    """Each node with one partner: of the hubs of its shingles, the one that it shares most with.
-
-    The hub of a shingle is its node that meets most others in all: of near copies,
-    likely the one closest to their source.
-    """
-    hub = shared.groupBy("shingle").agg(F.max(F.struct("weight", "node", "n")).alias("hub"))
-    pairs = shared.join(stage(hub.select("shingle", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs"), "shingle")
-    pairs = pairs.where((F.col("hub") != F.col("node")) & (100 * F.least("n", "hub_n") >= PERCENT * F.greatest("n", "hub_n")))
-    pairs = pairs.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("c"), F.first("hub_n").alias("na"), F.first("n").alias("nb"))
-    pairs = pairs.where(_enough(F.col("c"), "na", "nb"))
-    return pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-
-
 def _closest(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Of the pairs between two components, the one that shares most."""
     rooted = _rooted(pairs, roots).groupBy(F.least("ra", "rb").alias("one"), F.greatest("ra", "rb").alias("two"))
@@ -304,12 +290,18 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("ra <> rb")
 
 
-def block_pairs(shingle, node, n, reach, most, root, bits: list[bytes]):
-    """(a, b, c, na, nb): how many of a block's shingles two nodes of different components share, if their sizes, ``most`` (see ``_product``) and bitmaps let them be linked."""
-    order = np.lexsort((n, root, shingle))
-    shingle, node, n, reach, most, root = (x[order] for x in (shingle, node, n, reach, most, root))
-    _, first, number = np.unique(node, return_index=True, return_inverse=True)
-    maps = Bitmaps([bits[k] for k in order[first].tolist()])
+BLOCK = ("shingle", "node", "n", "reach", "most", "root")
+
+
+def _in_order(found) -> list[np.ndarray]:
+    """Columns BLOCK of a block by shingle, component and size."""
+    columns = [found.column(c).to_numpy() for c in BLOCK]
+    order = np.lexsort((columns[2], columns[5], columns[0]))
+    return [order, *(x[order] for x in columns)]
+
+
+def met(shingle, node, n, reach, most, root):
+    """Yields (x, y): rows of a block that share a shingle but not a component, if they are ``bounded`` so that they may be linked."""
     edge = np.append(shingle[1:] != shingle[:-1], True)
     ends = np.flatnonzero(edge) + 1
     own = np.flatnonzero(edge | np.append(root[1:] != root[:-1], True)) + 1
@@ -317,56 +309,108 @@ def block_pairs(shingle, node, n, reach, most, root, bits: list[bytes]):
     last = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
     begin = np.repeat(own, np.diff(np.concatenate([[0], own])))
     total = np.concatenate([[0], np.cumsum(last - begin)])
+    k = 0
+    while k < len(node):
+        stop = max(k + 1, int(np.searchsorted(total, total[k] + (1 << 18), "right")) - 1)
+        here = np.arange(k, stop)
+        count = (last - begin)[here]
+        x, y = np.repeat(here, count), ranges(begin[here], count)
+        k = stop
+        good = bounded(n, reach, most, x, y)
+        yield x[good], y[good]
+
+
+def bounded(n, reach, most, x, y) -> np.ndarray:
+    """Whether sizes and ``most`` (see ``_product``) let two rows be linked."""
+    na, nb = n[x], n[y]
+    bound = np.where(reach[x] < reach[y], most[x], np.where(reach[x] > reach[y], most[y], np.maximum(most[x], most[y])))
+    return (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (bound >= needed(na, nb))
+
+
+def _hubs(key, found):
+    """(a, b, c, na, nb): how many of a block's shingles with hub a a node b has."""
+    shingle, node, n, reach, most, weight = (found.column(c).to_numpy() for c in (*BLOCK[:5], "weight"))
+    order = np.lexsort((node, weight, shingle))
+    shingle, node, n, reach, most = (x[order] for x in (shingle, node, n, reach, most))
+    ends = np.flatnonzero(np.append(shingle[1:] != shingle[:-1], True))
+    hub = np.repeat(ends, np.diff(np.concatenate([[-1], ends])))
+    own = np.arange(len(node))
+    own = np.flatnonzero((node != node[hub]) & bounded(n, reach, most, own, hub))
+    own = own[np.lexsort((node[own], node[hub[own]]))]
+    a, b = node[hub[own]], node[own]
+    head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(own) else own
+    count = np.diff(np.append(head, len(own)))
+    return pa.table([pa.array(x) for x in (a[head], b[head], count, n[hub[own[head]]], n[own[head]])], names=["a", "b", "c", "na", "nb"])
+
+
+def _stars(shared: DataFrame, buckets: int) -> DataFrame:
+    """Each node with one partner: of the hubs of its shingles, the one that it shares most with.
+
+    The hub of a shingle is its node that meets most others in all: of near copies,
+    likely the one closest to their source.
+    """
+    rows = shared.select(_bucket_of(buckets), *BLOCK[:5], "weight")
+    pairs = rows.groupBy("bucket").applyInArrow(_hubs, "a long, b long, c long, na long, nb long")
+    pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.where(_enough(F.col("c"), "na", "nb"))
+    return pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+
+
+def _bucket_of(buckets: int):
+    return F.pmod(F.xxhash64("shingle"), F.lit(buckets)).alias("bucket")
+
+
+def _meeting(key, found):
+    """The rows of a block that ``met`` has."""
+    order, *columns = _in_order(found)
+    keep = np.zeros(len(order), bool)
+    for x, y in met(*columns):
+        keep[x] = keep[y] = True
+    return pa.table([pa.array(c[keep]) for c in columns], names=[*BLOCK])
+
+
+def _counted(key, found):
+    """(a, b, c, na, nb): how many of a block's shingles two nodes share, if ``met`` and their bitmaps let them be linked."""
+    order, shingle, node, n, reach, most, root = _in_order(found)
+    _, first, number = np.unique(node, return_index=True, return_inverse=True)
+    maps = Bitmaps(found.column("bits").take(pa.array(order[first])).to_pylist())
     out: list[tuple[np.ndarray, ...]] = []
     held = 0
 
-    def counted():
+    def summed():
         a, b, c, na, nb = (np.concatenate(x) for x in zip(*out))
         order = np.lexsort((b, a))
         a, b, c, na, nb = (x[order] for x in (a, b, c, na, nb))
         head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         return a[head], b[head], np.add.reduceat(c, head), na[head], nb[head]
 
-    k = 0
-    while k < len(node):
-        stop = max(k + 1, int(np.searchsorted(total, total[k] + (1 << 18), "right")) - 1)
-        here = np.arange(k, stop)
-        count = (last - begin)[here]
-        x, y = np.repeat(here, count), ranges(begin[here], count)
-        k = stop
-        na, nb = n[x], n[y]
-        bound = np.where(reach[x] < reach[y], most[x], np.where(reach[x] > reach[y], most[y], np.maximum(most[x], most[y])))
-        good = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (bound >= needed(na, nb))
+    for x, y in met(shingle, node, n, reach, most, root):
+        good = n[x] + n[y] - maps.differing(number[x], number[y]) >= 2 * needed(n[x], n[y])
         x, y = x[good], y[good]
-        if len(x):
-            na, nb = n[x], n[y]
-            good = na + nb - maps.differing(number[x], number[y]) >= 2 * needed(na, nb)
-            x, y = x[good], y[good]
         if len(x):
             swap = node[x] > node[y]
             x, y = np.where(swap, y, x), np.where(swap, x, y)
             out.append((node[x], node[y], np.ones(len(x), np.int64), n[x], n[y]))
             held += len(x)
             if held > 1 << 20:
-                out = [counted()]
+                out = [summed()]
                 held = len(out[0][0])
-    return counted() if out else (np.zeros(0, np.int64),) * 5
+    return pa.table([pa.array(v) for v in (summed() if out else (np.zeros(0, np.int64),) * 5)], names=["a", "b", "c", "na", "nb"])
 
 
 def _between(shared: DataFrame, roots: DataFrame, survey: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of nodes of different components whose summed overlap counts still let them be linked."""
-    rows = shared.drop("weight").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
-    rows = stage(rows.join(mixed, "shingle", "left_semi"), "mixed")
+    """Pairs of nodes of different components whose summed overlap counts still let them be linked.
+
+    Each block is gone through twice: first for the rows that meet any other, and, with
+    the bitmaps of these alone, for the pairs.
+    """
+    bucket = _bucket_of(buckets)
+    rows = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stage(rows.select(bucket, *BLOCK).groupBy("bucket").applyInArrow(_meeting, ", ".join(f"{c} long" for c in BLOCK)), "meeting")
     bits = survey.where("kind = 0 AND blob IS NOT NULL").select(F.col("b").alias("node"), "blob")
     bits = bits.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("blob").alias("bits"))
-    rows = rows.join(bits, "node").withColumn("bucket", F.pmod(F.xxhash64("shingle"), F.lit(buckets)))
-
-    def run(key, found):
-        columns = [found.column(c).to_numpy() for c in ("shingle", "node", "n", "reach", "most", "root")]
-        return pa.table([pa.array(v) for v in block_pairs(*columns, found.column("bits").to_pylist())], names=["a", "b", "c", "na", "nb"])
-
-    pairs = rows.select("bucket", "shingle", "node", "n", "reach", "most", "root", "bits").groupBy("bucket").applyInArrow(run, "a long, b long, c long, na long, nb long")
+    rows = rows.join(bits, "node").select(bucket, *BLOCK, "bits")
+    pairs = rows.groupBy("bucket").applyInArrow(_counted, "a long, b long, c long, na long, nb long")
     pairs = pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     return pairs.where(_enough(F.col("c"), "na", "nb")).select("a", "b", "c")
 
@@ -445,7 +489,7 @@ def near_duplicates(docs: DataFrame, count_links: bool = False, hashes: bool = F
         links = stage(_verify(stage(_between(shared, nobody, survey, buckets), "pairs"), rows, lead, groups), "links")
         roots = connected_components(links)
     else:
-        links = stage(_verify(stage(_stars(shared), "stars"), rows, lead, groups), "links")
+        links = stage(_verify(stage(_stars(shared, buckets), "stars"), rows, lead, groups), "links")
         roots = connected_components(links)
         pairs = stage(_between(shared, roots, survey, buckets), "pairs")
         for pick in (lambda: _closest(pairs, roots), lambda: _rooted(pairs, roots).select("a", "b")):
