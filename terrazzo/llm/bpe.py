@@ -203,23 +203,27 @@ def encoder(spec: str) -> Encoder:
     return _encoders[key]
 
 
+def _lists(rows) -> pa.Array:
+    return pa.array([ids.astype(np.int32) for ids, _ in rows], pa.list_(pa.int32()))
+
+
 def encode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """Encode each whole text and decode it again, row by row, without a shuffle.
 
     Returns doc_id, ids (array of int), decoded (text). ``tokenizer_file`` is a
     byte-level BPE description that the driver reads; its content (a few MB,
     whatever the input) goes to the workers as a broadcast variable. Null and empty
-    texts give no ids; repeated rows are each returned.
+    texts give no ids; repeated rows are each returned; an empty table gives no rows.
     """
     return _mapped(docs, tokenizer_file, False)
 
 
-def encode_digests(docs: DataFrame, tokenizer_file: str) -> DataFrame:
-    """``encode`` with the ids and the decoded text reduced to doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return _mapped(docs, tokenizer_file, True)
+def encode_digests(docs: DataFrame, tokenizer_file: str, with_ids: bool = False) -> DataFrame:
+    """``encode`` with the ids and the decoded text reduced to doc_id, n_tokens, ids_sha256, decoded_sha256; ids too if ``with_ids``."""
+    return _mapped(docs, tokenizer_file, True, with_ids)
 
 
-def _mapped(docs: DataFrame, tokenizer_file: str, digests: bool) -> DataFrame:
+def _mapped(docs: DataFrame, tokenizer_file: str, digests: bool, with_ids: bool = False) -> DataFrame:
     spark = docs.sparkSession
     ready(spark)
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -239,14 +243,15 @@ def _mapped(docs: DataFrame, tokenizer_file: str, digests: bool) -> DataFrame:
                         pa.array([len(ids) for ids, _ in rows], pa.int64()),
                         pa.array([sha(text.encode()) for _, text in rows], pa.string()),
                         pa.array([sha(own.decode(ids).encode()) for ids, _ in rows], pa.string()),
+                        *([_lists(rows)] if with_ids else []),
                     ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])],
                 )
             else:
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([ids.astype(np.int32) for ids, _ in rows], pa.list_(pa.int32())), pa.array([own.decode(ids) for ids, _ in rows], pa.string())],
+                    [part.column(0), _lists(rows), pa.array([own.decode(ids) for ids, _ in rows], pa.string())],
                     ["doc_id", "ids", "decoded"],
                 )
 
-    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded string"
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids if digests else "doc_id long, ids array<int>, decoded string"
     return documents_of(docs).mapInArrow(run, kind)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..staging import ready, scratch_dir, stage
 
 __all__ = [
-    "BLANK", "bounded_sample", "documents_of", "held_out", "hot_join", "mix", "powers", "read", "ready",
+    "BLANK", "bounded_sample", "documents_of", "held_out", "hot_join", "keyed", "mix", "powers", "read", "ready",
     "scratch_dir", "slices", "stage", "utf8", "word_hashes", "words",
 ]
 
@@ -23,6 +23,11 @@ def documents_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def keyed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` beside keys of its columns, so that no name of a column can clash with a key's."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in keys.items()))
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True where crc32 of the id as text falls in fold 0; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .common import documents_of, mix, ready, slices, utf8, word_hashes, words
+from .common import documents_of, keyed, mix, ready, slices, utf8, word_hashes, words
 from .segments import ranges
 
 #: Words of a passage and between passages; rank of the latent space and random directions drawn.
@@ -345,9 +346,9 @@ def _best_share(item: list[str], region: list[str]) -> float:
     return max(_share(item, region[a : a + span]) for a in range(0, max(1, len(region) - span + step), step))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, hashes: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, contaminated, n_items, item_id (the most complete), share;
-    text_hash (xxhash64) too if ``hashes``.
+    with ``whole`` a struct column ``row`` of all columns of ``docs`` too.
 
     ``benchmark`` (item_id, text) is read in blocks of ITEMS, so that what every
     task holds is bounded. Items of fewer than LEAST_WORDS words, or without text,
@@ -386,14 +387,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, hashes: bool = False) -
                 ["doc_id", "contaminated", "n_items", "item_id", "share", *part.schema.names[2:]],
             )
 
-    schema = "doc_id long, contaminated boolean, n_items long, item_id long, share double"
-    if hashes:
-        rows, schema = rows.withColumn("text_hash", F.xxhash64("text")), schema + ", text_hash long"
-    return rows.mapInArrow(run, schema)
+    schema = StructType([StructField("doc_id", LongType()), StructField("contaminated", BooleanType()), StructField("n_items", LongType()), StructField("item_id", LongType()), StructField("share", DoubleType())])
+    if not whole:
+        return rows.mapInArrow(run, schema)
+    rows = keyed(docs, doc_id=docs["doc_id"].cast("long"), text=docs["text"].cast("string"))
+    return rows.select("doc_id", "text", "row").mapInArrow(run, schema.add("row", docs.schema))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is not contaminated, told by doc_id and text; all columns stay."""
-    bad = contamination(docs, benchmark, hashes=True).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    return docs.join(bad.hint("merge"), same, "left_anti")
+    """The rows of ``docs`` whose text is not contaminated, each judged by itself and without a shuffle; all columns stay.
+
+    Null and empty texts stay; an empty table gives no rows.
+    """
+    return contamination(docs, benchmark, whole=True).where("NOT contaminated").select("row.*")

@@ -3,8 +3,8 @@
 The index is a table bucketed and sorted by digest. A batch is reduced to one
 row per digest before anything is shuffled by digest alone, new digests are found
 by a sort-merge anti-join that reads the index without moving it, and are then
-appended. Appending the same batch again adds nothing, so a failed run can be
-repeated.
+appended. A batch has a name: adding it again under its name adds nothing and gives
+the same decisions, so a failed run can be repeated.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents_of, stage
+from .common import documents_of, keyed, stage
 
 #: A text that more than this share of a batch carries is joined by broadcast; fewer than 1 / HOT_SHARE texts can.
 HOT_SHARE = 0.001
@@ -40,7 +40,7 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """De-duplicate a batch against the index and itself, append what is new, return the decisions.
 
         One row per distinct (doc_id, text): doc_id, keep_id, group_size (rows of
@@ -48,9 +48,11 @@ class DigestIndex:
         index before), n_rows (how often the row is repeated). Of equal texts the
         largest doc_id stays, or the one that the index already holds. Null text
         counts as empty; null ids lose against every other id; an empty batch
-        gives no rows.
+        gives no rows. What ``batch`` itself has put into the index before, in a run
+        that failed or is repeated, isn't known; without a name each call is a batch
+        of its own.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         digests = documents_of(docs).select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"))
         rows = stage(digests.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n_rows")), "digests")
         groups = rows.groupBy("digest").agg(F.max("doc_id").alias("largest"), F.sum("n_rows").alias("group_size"))
@@ -88,17 +90,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text no other row with a larger doc_id has; all columns stay."""
-    kept = exact_duplicates(docs).where("kept")
-    repeated = kept.where("n_rows > 1").select("doc_id", "text_sha256")
-    once = kept.where("n_rows = 1").select("doc_id", "text_sha256")
-
-    def of(ids: DataFrame) -> DataFrame:
-        ids = ids.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col("_sha"))
-        return docs.join(ids.hint("merge"), same, "left_semi")
-
-    out = of(once)
-    if not repeated.isEmpty():
-        out = out.unionByName(of(repeated).dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` whose text no other row with a larger doc_id has; all columns stay.
+
+    Null text counts as empty; null ids lose against every other id. Of rows that repeat
+    doc_id and text one stays, whichever. An empty table gives no rows.
+    """
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest"), "n_rows")
+    own = keyed(docs, id=docs["doc_id"].cast("long"), digest=F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"), 256)))
+    found = own.join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest")))
+    out = found.where("n_rows = 1").select("row.*")
+    if not kept.where("n_rows > 1").isEmpty():
+        out = out.unionByName(found.where("n_rows > 1").dropDuplicates(["id", "digest"]).select("row.*"))
     return out

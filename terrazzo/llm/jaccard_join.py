@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import documents_of, hot_join, mix, powers, ready, slices, stage, utf8, word_hashes, words
+from .common import documents_of, hot_join, keyed, mix, powers, ready, slices, stage, utf8, word_hashes, words
 from .segments import FLUSH, LEAST_BUCKETS, NULL_ID, _pack, _unpack, ranges
 from .toxicity import lower
 
@@ -517,10 +517,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component (the smallest doc_id) and all that have no words; all columns stay.
 
     What goes is decided by doc_id and text: rows whose id repeats, null ids included, don't
-    drag each other along. Rows that have the id that stays are all kept.
+    drag each other along. Rows that have the id that stays are all kept. An empty table
+    gives no rows.
     """
     found = near_duplicates(docs, hashes=True)
     gone = found.where(F.col("component_id").isNotNull() & ~F.col("component_id").eqNullSafe(F.col("doc_id")))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    return docs.join(gone.hint("merge"), same, "left_anti")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    own = keyed(docs, id=docs["doc_id"].cast("long"), hash=F.xxhash64(docs["text"].cast("string")))
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash"))
+    return own.join(gone.hint("merge"), same, "left_anti").select("row.*")

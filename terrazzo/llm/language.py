@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import bounded_sample, documents_of, held_out, ready, slices, utf8
+from .common import bounded_sample, held_out, keyed, ready, slices, utf8
 
 #: Bytes of a segment, units of a direction, segments that run side by side.
 SEGMENT, UNITS, WIDTH = 64, 8, 4096
@@ -198,13 +199,14 @@ def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[
     return got.column("text").to_pylist(), got.column("lang").to_pylist()
 
 
-def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
+def identify(docs: DataFrame, net: Network | None = None, whole: bool = False) -> DataFrame:
     """Predict the language of each whole text: doc_id, held_out, lang_pred, score.
 
     ``net`` is trained on ``docs`` where none is given. A text that is null or has
     no letter is ``und`` with score 0, as is every text where no label could be
     learned from. The work is row by row, without a shuffle; repeated rows are each
-    returned, and an empty table gives no rows.
+    returned, and an empty table gives no rows. With ``whole`` a struct column ``row``
+    has all columns of ``docs``.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -223,7 +225,27 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
                 best = prob.argmax(axis=1)
                 pred = np.where(letters, np.array([*own.languages], object)[best], "und")
                 score = np.where(letters, np.clip(prob.max(axis=1), 0, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(pred, pa.string()), pa.array(score, pa.float64()), *part.columns[4:]], ["doc_id", "held_out", "lang_pred", "score", *part.schema.names[4:]])
 
-    rows = documents_of(docs).select("doc_id", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    schema = StructType([StructField("doc_id", LongType()), StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    rows = keyed(docs, doc_id=doc_id, text=text, letters=F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), held_out=held_out(doc_id))
+    if whole:
+        schema = schema.add("row", docs.schema)
+    return rows.select("doc_id", "text", "letters", "held_out", *(["row"] if whole else [])).mapInArrow(run, schema)
+
+
+def keep_known(docs: DataFrame, languages: list[str] | None = None, least_score: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` in one of ``languages`` (None: all that are learned), all columns as they are.
+
+    Texts without a letter go, and those whose language the network gives less than
+    ``least_score``. Where ``docs`` has no label to learn from, only the letters
+    decide. Null and empty texts go; repeated rows are each judged; an empty table
+    gives no rows.
+    """
+    net = train(*training_sample(docs))
+    if net is None:
+        return docs.where(docs["text"].cast("string").rlike(r"\p{L}"))
+    found = identify(docs, net, whole=True)
+    known = F.col("lang_pred").isin(list(net.languages if languages is None else languages))
+    return found.where(known & (F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")

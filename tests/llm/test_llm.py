@@ -161,11 +161,13 @@ def test_components(spark):
 
 def test_digest_index_persists(spark):
     index = exact_dedup.DigestIndex(spark, "digest_test", 3)
+    assert {(r.doc_id, r.kept, r.known) for _ in range(2) for r in index.add(frame(spark, [(7, "z"), (8, "z"), (None, "y")]), "named").collect()} == {(7, False, False), (8, True, False), (None, True, False)}
+    assert index.rows().count() == 2 and {(r.keep_id, r.kept) for r in index.add(frame(spark, [(9, "z")])).collect()} == {(8, False)}
     first = frame(spark, [(1, "a"), (2, "b"), (3, "a")])
     assert {(r.doc_id, r.keep_id, r.kept) for r in index.add(first).collect()} == {(1, 3, False), (3, 3, True), (2, 2, True)}
     again = {(r.doc_id, r.keep_id, r.kept, r.known) for r in index.add(frame(spark, [(9, "a"), (8, "c")])).collect()}
     assert again == {(9, 3, False, True), (8, 8, True, False)}
-    assert index.rows().count() == 3
+    assert index.rows().count() == 5
     about = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED digest_test").collect()}
     assert about["Num Buckets"] == "3" and "digest" in about["Bucket Columns"] and "digest" in about["Sort Columns"]
     batch = index.rows().groupBy("digest").count().repartition(3, "digest")
