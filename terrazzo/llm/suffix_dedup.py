@@ -1,13 +1,20 @@
-"""Removal of long repeated byte strings by minimiser partitioning and suffix sorting.
-
-Rolling-hash minimisers (the smallest hash of ``TRIGGER`` bytes in a window) cut each
-text into segments: runs of ``LENGTH``-byte windows with one minimiser, so that no window
-crosses out of its segment. Segments are dealt by minimiser, which equal windows share
-(see ``segments``). In each part the suffixes of the distinct segments that have at least
-``LENGTH`` bytes are sorted to that depth; each run of equal ones has a smallest document.
-This stands in place of prefix-free parsing: no suffix array of a parse is built and
-nothing is combined into corpus order, as only the equality of windows is needed.
-Repetitive text costs little, as a segment is sorted once however often a part has it.
+"""Removal of long repeated byte strings by prefix-free parsing.
+
+A window of ``LENGTH`` bytes has a trigger: the first place in it whose rolling hash of
+``TRIGGER`` bytes is the smallest. (Hashes below a threshold, as usual, would leave
+windows without any.) A text falls into phrases that each end with a trigger; what
+follows a trigger is a suffix of the parse. A window is a suffix of the phrase that
+ends with its trigger and the beginning of the parse suffix behind it, and as its
+trigger follows from the window alone, equal windows are cut at the same place. So the
+order of all windows falls apart by triggers: phrases and what follows them are dealt
+by trigger (see ``segments``), each distinct string of a task once.
+
+In a part the distinct phrases (the dictionary) are sorted from their ends, so that
+each suffix of a phrase is an unbroken run of them, and the suffixes of the parse are
+sorted by their bytes to the depth that windows need. Both orders are combined: windows
+in the order of phrase suffix and parse suffix have equal strings side by side, and
+the common bytes of neighbours in the two orders tell whether they are equal. No window is
+sorted by its bytes: repetitive text costs little, as a phrase is sorted once.
 """
 
 from __future__ import annotations
@@ -18,11 +25,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import _P, _P_INV, mix, powers
-from .segments import Windows, covered, ranges, remove_repeats, runs, slide_min
+from .segments import Windows, covered, remove_repeats, runs, slide_min
 
 LENGTH, TRIGGER = 50, 8
-#: Where to read eight bytes at a time to compare LENGTH of them.
-STEPS = [*range(0, LENGTH - 7, 8), LENGTH - 8]
+
+
+def _rolling(data: np.ndarray) -> np.ndarray:
+    """Hash of the TRIGGER bytes from each place on, the same wherever they stand."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, n), out=total[1:])
+    return mix((total[TRIGGER:] - total[:-TRIGGER]) * powers(_P_INV, n - TRIGGER + 1))
 
 
 def _cut(data: np.ndarray, offsets: np.ndarray):
@@ -30,10 +43,7 @@ def _cut(data: np.ndarray, offsets: np.ndarray):
     none = np.zeros(0, np.int64)
     if n < LENGTH:
         return b"", none, none, none, none, none, np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, n), out=total[1:])
-    rolling = mix((total[TRIGGER:] - total[:-TRIGGER]) * powers(_P_INV, n - TRIGGER + 1))
-    mini = slide_min(rolling, LENGTH - TRIGGER + 1)
+    mini = slide_min(_rolling(data), LENGTH - TRIGGER + 1)
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     whole = np.flatnonzero(row[: n - LENGTH + 1] == row[LENGTH - 1 :])
@@ -42,43 +52,81 @@ def _cut(data: np.ndarray, offsets: np.ndarray):
     return data.tobytes(), at, first - offsets[at], count, first, first + count + LENGTH - 1, mix(mini[first])
 
 
-def _eight(buffer: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as a number whose order is the bytes' order (no copy)."""
-    return np.ndarray((max(0, len(buffer) - 7),), ">u8", np.ascontiguousarray(buffer), 0, (1,))
-
-
-def suffix_order(buffer: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of the given places to a depth of LENGTH bytes.
-
-    Returns the numbers of ``places`` in the order of their suffixes, and for each
-    whether it differs from the one before within LENGTH bytes. Eight bytes are
-    compared at a time, and only what is still equal is sorted again.
-    """
-    word = _eight(buffer)
-    key = word[places].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    for step in STEPS[1:]:
-        alone = head & np.concatenate([head[1:], [True]])
-        slot = np.flatnonzero(~alone)
-        if not len(slot):
+def phrases(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the segments laid end to end: each trigger's place, the phrase's length to the trigger's end, and the segment."""
+    rolling = _rolling(buffer)
+    starts, sizes = offsets[:-1], np.diff(offsets)
+    segment = np.repeat(np.arange(len(sizes)), sizes)[: len(rolling)]
+    inside = np.arange(len(rolling)) + TRIGGER <= offsets[1:][segment]
+    rolling = np.where(inside, rolling, np.uint64(0xFFFFFFFFFFFFFFFF))
+    place = np.flatnonzero(inside & (rolling == np.minimum.reduceat(rolling, starts)[segment]))
+    segment = segment[place]
+    begin = starts[segment].copy()
+    same = segment[1:] == segment[:-1]
+    begin[1:][same] = place[:-1][same] + 1
+    return place, place + TRIGGER - begin, segment
+
+
+def _strings(buffer: np.ndarray, begin: np.ndarray, size: np.ndarray, words: int, back: bool) -> np.ndarray:
+    """Strings of up to 8 * words bytes, forwards or (from ``begin`` + size) backwards, as numbers whose order is theirs; filled up with zeros."""
+    out = np.zeros((words, len(begin)), np.uint64)
+    for k in range(8 * words):
+        live = np.flatnonzero(size > k)
+        if not len(live):
             break
-        run = np.cumsum(head)[slot]
-        key = word[places[order[slot]] + step].astype(np.uint64)
-        again = np.lexsort((key, run))
-        order[slot] = order[slot[again]]
-        key, run = key[again], run[again]
-        head[slot] = np.concatenate([[True], (run[1:] != run[:-1]) | (key[1:] != key[:-1])])
-    return order, head
+        at = begin[live] + (size[live] - 1 - k if back else k)
+        out[k // 8, live] |= buffer[at].astype(np.uint64) << np.uint64(56 - 8 * (k % 8))
+    return out
+
+
+def sorted_strings(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings, and how many bytes each has in common with the one before it in that order (the first: -1)."""
+    order = np.lexsort(strings[::-1])
+    before, after = strings[:, order[:-1]], strings[:, order[1:]]
+    common = np.full(len(order), -1, np.int64)
+    if len(order) > 1:
+        differ = before ^ after
+        word = (differ != 0).argmax(axis=0)
+        first = differ[word, np.arange(differ.shape[1])]
+        equal = first == 0
+        # Of a number's eight bytes, the first that isn't zero.
+        byte = np.zeros(len(first), np.int64)
+        for k in range(1, 8):
+            byte += first < np.uint64(1 << (64 - 8 * k))
+        common[1:] = np.where(equal, 8 * len(strings), 8 * word + byte)
+    return order, common
 
 
 def _same(buffer: np.ndarray, offsets: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    places = ranges(offsets[:-1], windows)
-    order, head = suffix_order(buffer, places)
-    group = np.full(len(places), -1, np.int64)
-    many = ~(head & np.concatenate([head[1:], [True]]))
-    group[order[many]] = np.cumsum(head)[many]
+    """Number of each window of the segments, equal for equal windows; -1: no other is equal."""
+    group = np.full(int(windows.sum()), -1, np.int64)
+    if not len(group):
+        return group
+    place, size, segment = phrases(buffer, offsets)
+    size = np.minimum(size, LENGTH)
+    base = (np.cumsum(windows) - windows)[segment] - offsets[:-1][segment]
+    last = offsets[:-1][segment] + windows[segment]
+    rest = np.minimum(offsets[1:][segment] - place - TRIGGER, LENGTH - TRIGGER)
+    dictionary, shared = sorted_strings(_strings(buffer, place + TRIGGER - size, size, -(-LENGTH // 8), True))
+    parse, common = sorted_strings(_strings(buffer, place + TRIGGER, rest, -(-(LENGTH - TRIGGER) // 8), False))
+    n = len(place)
+    rank = np.empty((2, n), np.int64)
+    done = 0
+    for length in range(TRIGGER, LENGTH + 1):
+        # Windows whose phrase suffix has this length: their first byte lies that far before the trigger's end.
+        own = np.flatnonzero((size >= length) & (place + TRIGGER - length < last))
+        if len(own) < 2:
+            continue
+        rank[0, dictionary] = np.cumsum(shared < length)
+        rank[1, parse] = np.cumsum(common < LENGTH - length)
+        key = rank[0, own] * (n + 1) + rank[1, own]
+        order = np.argsort(key)
+        key = key[order]
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        many = ~(head & np.concatenate([head[1:], [True]]))
+        own = own[order[many]]
+        group[base[own] + place[own] + TRIGGER - length] = done + np.cumsum(head)[many]
+        done += n
     return group
 
 

@@ -68,16 +68,46 @@ def test_hash_collisions_are_told_apart(monkeypatch):
     assert pairs(right) == pairs(forced) and len(pairs(right)) == 41
 
 
-def test_suffix_order():
+def test_phrases_make_the_order_of_all_windows():
     rng = np.random.default_rng(0)
-    text = rng.integers(97, 99, 400).astype(np.uint8)
-    text[200:330] = text[20:150]
-    places = np.arange(400 - suffix_dedup.LENGTH + 1)
-    order, head = suffix_dedup.suffix_order(text, places)
-    raw = text.tobytes()
-    strings = [raw[p : p + suffix_dedup.LENGTH] for p in places[order]]
-    assert strings == sorted(strings)
-    assert head.tolist() == [k == 0 or strings[k] != strings[k - 1] for k in range(len(strings))]
+    texts = [rng.integers(0, 2, 300), rng.integers(97, 99, 400), np.zeros(200, int), np.full(130, 7), rng.integers(0, 256, 90), rng.integers(97, 123, 50), np.tile(rng.integers(0, 3, 61), 5)]
+    texts[1][200:330] = texts[1][20:150]
+    texts += [np.concatenate([rng.integers(0, 3, k), texts[k % 7][5:120], rng.integers(0, 3, 9)]) for k in range(40)]
+    data = np.concatenate(texts).astype(np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    buffer, at, start, count, begin, end, mini = suffix_dedup._cut(data, offsets)
+    numbers, seen = {}, 0
+    for bucket in range(3):  # segments of one trigger stay together
+        own = np.flatnonzero(mini % np.uint64(3) == bucket)
+        parts = [buffer[a:b] for a, b in zip(begin[own], end[own])]
+        group = suffix_dedup._same(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), count[own])
+        w = 0
+        for part, n in zip(parts, count[own]):
+            for k in range(n):
+                numbers.setdefault(part[k : k + 50], set()).add((bucket, int(group[w])) if group[w] >= 0 else ("alone", seen))
+                seen += 1
+                w += 1
+    raw = [t.astype(np.uint8).tobytes() for t in texts]
+    times = {}
+    for t in raw:
+        for k in range(len(t) - 49):
+            times[t[k : k + 50]] = times.get(t[k : k + 50], 0) + 1
+    assert seen == sum(times.values()) and {w: 1 for w in times} == {w: len(x) for w, x in numbers.items()}
+    named = [x for g in numbers.values() for x in g if x[0] != "alone"]
+    assert len(named) == len(set(named)) == sum(n > 1 for n in times.values())
+
+
+def test_sorted_strings():
+    rng = np.random.default_rng(3)
+    rows = sorted(rng.integers(0, 2, (60, 24)).astype(np.uint8).tobytes() for _ in range(1))[0]
+    rows = [rows[k : k + 24] for k in range(0, len(rows), 24)] * 2
+    buffer = np.frombuffer(b"".join(rows), np.uint8)
+    begin, size = np.arange(0, len(buffer), 24), np.full(len(rows), 24)
+    for back in (False, True):
+        order, common = suffix_dedup.sorted_strings(suffix_dedup._strings(buffer, begin, size, 3, back))
+        strings = [rows[k][::-1] if back else rows[k] for k in order]
+        assert strings == sorted(strings)
+        assert common.tolist() == [-1] + [next((k for k in range(24) if a[k] != b[k]), 24) for a, b in zip(strings, strings[1:])]
 
 
 def test_repeated_ids(spark):
