@@ -10,7 +10,8 @@ segments are compared window by window; what is a repeat goes back to its docume
 as intervals.
 
 Strings of a task and bucket are packed into one compressed value. Rows are known by
-doc_id and a 64-bit hash of the text, so that repeated ids don't mix.
+doc_id and, where any id stands on several rows, a 64-bit hash of the text, so that
+they don't mix.
 """
 
 from __future__ import annotations
@@ -246,7 +247,9 @@ def remove_repeats(docs: DataFrame, kind: Windows) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(total / PER_BUCKET))
     groups = _prime(max(LEAST_BUCKETS, math.ceil(total / PER_GROUP)))
-    rows = rows.withColumn("row", F.xxhash64("text"))
+    # Ids that stand on one row each need no hash of the text beside them.
+    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    rows = rows.withColumn("row", F.xxhash64("text") if repeated else F.lit(0).cast("long"))
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
     def table(found) -> pa.RecordBatch:

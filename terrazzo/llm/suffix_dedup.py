@@ -28,6 +28,9 @@ from .common import _P, _P_INV, mix, powers
 from .segments import Windows, covered, remove_repeats, runs, slide_min
 
 LENGTH, TRIGGER = 50, 8
+#: Bytes of segments that are hashed together.
+PIECE = 1 << 20
+_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _rolling(data: np.ndarray) -> np.ndarray:
@@ -54,17 +57,21 @@ def _cut(data: np.ndarray, offsets: np.ndarray):
 
 def phrases(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the segments laid end to end: each trigger's place, the phrase's length to the trigger's end, and the segment."""
-    rolling = _rolling(buffer)
-    starts, sizes = offsets[:-1], np.diff(offsets)
-    segment = np.repeat(np.arange(len(sizes)), sizes)[: len(rolling)]
-    inside = np.arange(len(rolling)) + TRIGGER <= offsets[1:][segment]
-    rolling = np.where(inside, rolling, np.uint64(0xFFFFFFFFFFFFFFFF))
-    place = np.flatnonzero(inside & (rolling == np.minimum.reduceat(rolling, starts)[segment]))
-    segment = segment[place]
-    begin = starts[segment].copy()
-    same = segment[1:] == segment[:-1]
-    begin[1:][same] = place[:-1][same] + 1
-    return place, place + TRIGGER - begin, segment
+    found = []
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE, "right")) - 1)
+        starts, sizes = offsets[a:b] - offsets[a], np.diff(offsets[a : b + 1])
+        rolling = _rolling(buffer[offsets[a] : offsets[b]])
+        for back in range(1, TRIGGER):  # strings that go on into the next segment
+            rolling[(starts + sizes)[:-1] - back] = _NEVER
+        place = np.flatnonzero(rolling == np.repeat(np.minimum.reduceat(rolling, starts), sizes)[: len(rolling)])
+        segment = np.searchsorted(starts, place, "right") - 1
+        begin = starts[segment]
+        begin[1:] = np.where(segment[1:] == segment[:-1], place[:-1] + 1, begin[1:])
+        found.append((place + offsets[a], place + TRIGGER - begin, segment + a))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _strings(buffer: np.ndarray, begin: np.ndarray, size: np.ndarray, words: int, back: bool) -> np.ndarray:
