@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 #: Value types that a raster may have: unsigned 8, 16 and 32 bits arrive as smallint, int and bigint.
 VALUE_TYPES = ("smallint", "int", "bigint", "float", "double", "tinyint")
 
@@ -55,9 +57,21 @@ def clipped(value: Column, low: float, high: float) -> Column:
 
 def quantile_breaks(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """(break_idx, value): exact quantiles of the finite values, ascending and distinct."""
-    finite = df.where(F.abs(F.col(value)) < F.lit(float("inf")))
-    found = finite.agg(F.percentile(F.col(value).cast("double"), F.array(*map(F.lit, shares))).alias("q"))
-    return found.select(F.posexplode(F.array_sort(F.array_distinct("q"))).alias("break_idx", "value"))
+    v = F.col(value).cast("double")
+    counted = df.where(F.abs(v) < F.lit(float("inf"))).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # Sorted by ranges: a value's rank is that within its range and the sizes of the ranges before.
+    ranges = stage(counted.orderBy("v").withColumn("part", F.spark_partition_id()), "ranges")
+    parts = ranges.groupBy("part").agg(F.sum("n").alias("n"))
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    places = [share * (total - 1) for share in shares] if total else []
+    wanted = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
+    end = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    ranked = ranges.join(F.broadcast(before), "part").select("v", (end - F.col("n")).alias("begin"), end.alias("end"))
+    held = F.filter(F.array(*map(F.lit, wanted)).cast("array<bigint>"), lambda k: (k >= F.col("begin")) & (k < F.col("end")))
+    at = {r.k: r.v for r in ranked.select("v", F.explode(held).alias("k")).collect()}  # two for each share at most
+    found = sorted({at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places})
+    return df.sparkSession.createDataFrame(list(enumerate(found)), "break_idx int, value double")
 
 
 def arithmetic_breaks(df: DataFrame, value: str, step: float) -> DataFrame:
@@ -75,8 +89,6 @@ def bands(thresholds: list[float]) -> list[tuple[int, float, float]]:
 
 def runs(pixels_: DataFrame) -> DataFrame:
     """Horizontal runs of equal neighbouring values: raster_id, row, col0, col1, value, n_pixels."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("raster_id", "row").orderBy("col")
     before, at = F.lag("value").over(w), F.lag("col").over(w)
     same = (at == F.col("col") - 1) & (before == F.col("value")) & ~F.isnan("value")

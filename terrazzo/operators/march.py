@@ -7,9 +7,16 @@ their smallest and largest corner.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import ready
+
+#: Cells of a tile's side.
+TILE = 512
+
 #: Fixed: by code (8 top-left, 4 top-right, 2 bottom-right, 1 bottom-left), the edges (T, R, B, L) that a line enters
 #: and leaves by, the inside on its left. Codes 5 and 10 depend on the mean of the corners: at or above, then below.
 SEGMENTS = {
@@ -21,22 +28,38 @@ SEGMENTS = {
 _INF = float("inf")
 
 
-def cells(pixels: DataFrame, width: int, height: int) -> DataFrame:
-    """One row per cell with four known corners: raster_id, row, col (from -1 on), tl, tr, br, bl.
+def framed(pixels: DataFrame, width: int, height: int, tile: int) -> DataFrame:
+    """Each sample with the tile of its cells, and on a tile's border with the tiles beside it: raster_id, tile_r, tile_c, row, col, value."""
+    r, c = F.col("row"), F.col("col")
+    inside = (r >= 0) & (r < height) & (c >= 0) & (c < width)
+    to = F.array_distinct(F.array(*[F.struct(F.floor((r + dr) / tile).alias("r"), F.floor((c + dc) / tile).alias("c")) for dr in (0, 1) for dc in (0, 1)]))
+    rows = pixels.where(~F.isnan("value") & inside).select("raster_id", "row", "col", "value", F.explode(to).alias("to"))
+    return rows.select("raster_id", F.col("to.r").alias("tile_r"), F.col("to.c").alias("tile_c"), "row", "col", "value")
+
+
+def tile_cells(tile_r: int, tile_c: int, found: pa.Table, width: int, height: int, tile: int) -> list[np.ndarray]:
+    """Row and column of a tile's cells with four known corners, and the corners: tl, tr, br, bl."""
+    # Cells from one before the tile's first sample on; samples of one row and column more.
+    r0, c0 = tile_r * tile - 1, tile_c * tile - 1
+    h, w = min(tile, height - r0), min(tile, width - c0)
+    grid, known = np.full((h + 1, w + 1), -np.inf), np.zeros((h + 1, w + 1), bool)
+    rows, cols = np.arange(r0, r0 + h + 1), np.arange(c0, c0 + w + 1)
+    known[(rows < 0) | (rows >= height), :] = known[:, (cols < 0) | (cols >= width)] = True
+    y, x = found.column("row").to_numpy() - r0, found.column("col").to_numpy() - c0
+    grid[y, x], known[y, x] = found.column("value").to_numpy(), True
+    y, x = np.nonzero(known[:-1, :-1] & known[:-1, 1:] & known[1:, 1:] & known[1:, :-1])
+    return [y + r0, x + c0, *(grid[y + dr, x + dc] for dr, dc in ((0, 0), (0, 1), (1, 1), (1, 0)))]
 
-    Each sample is sent to its four cells; a corner outside the raster is -inf.
-    """
-    at = F.explode(F.array(*[F.struct((F.col("row") - dr).alias("row"), (F.col("col") - dc).alias("col"), F.lit(k).alias("k")) for dr, dc, k in ((0, 0, "tl"), (0, 1, "tr"), (1, 1, "br"), (1, 0, "bl"))]))
-    known = pixels.where(~F.isnan("value")).select("raster_id", "value", at.alias("at")).select("raster_id", "at.row", "at.col", "at.k", "value")
-    out = known.groupBy("raster_id", "row", "col").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(k) for k in ("tl", "tr", "br", "bl")])
 
-    def corner(k: str, dr: int, dc: int) -> Column:
-        r, c = F.col("row") + dr, F.col("col") + dc
-        outside = (r < 0) | (r >= height) | (c < 0) | (c >= width)
-        return F.when(outside, F.lit(-_INF)).otherwise(F.col(k)).alias(k)
+def cells(pixels: DataFrame, width: int, height: int, tile: int = TILE) -> DataFrame:
+    """One row per cell with four known corners: raster_id, row, col (from -1 on), tl, tr, br, bl. A corner outside the raster is -inf."""
+    ready(pixels.sparkSession)
 
-    out = out.select("raster_id", "row", "col", corner("tl", 0, 0), corner("tr", 0, 1), corner("br", 1, 1), corner("bl", 1, 0))
-    return out.where("tl IS NOT NULL AND tr IS NOT NULL AND br IS NOT NULL AND bl IS NOT NULL")
+    def run(key, found):
+        row, col, *corners = tile_cells(key[1].as_py(), key[2].as_py(), found, width, height, tile)
+        return pa.table([pa.array([key[0].as_py()] * len(row), pa.string()), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), *map(pa.array, corners)], names=["raster_id", "row", "col", "tl", "tr", "br", "bl"])
+
+    return framed(pixels, width, height, tile).groupBy("raster_id", "tile_r", "tile_c").applyInArrow(run, "raster_id string, row int, col int, tl double, tr double, br double, bl double")
 
 
 def codes(cells_: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -92,6 +115,56 @@ def segments(codes_: DataFrame) -> DataFrame:
     )
 
 
+def _edge_table() -> np.ndarray:
+    """By code (16 more for a saddle whose mean is below), k and end: the edge as a place in TRBL, or -1."""
+    out = np.full((32, 2, 2), -1)
+    for code, pairs in SEGMENTS.items():
+        for case, own in ((code, pairs), (code + 16, pairs)) if isinstance(pairs, list) else ((code, pairs[0]), (code + 16, pairs[1])):
+            for k, pair in enumerate(own):
+                out[case, k] = ["TRBL".index(e) for e in pair]
+    return out
+
+
+_EDGES = _edge_table()
+
+
+def _fractions(v0: np.ndarray, v1: np.ndarray, t: float) -> np.ndarray:
+    """``fraction`` of arrays."""
+    inf0, inf1, near = np.isinf(v0), np.isinf(v1), np.zeros(len(v0), bool)
+    both = ~(inf0 | inf1)
+    near[both] = np.abs(v1[both] - v0[both]) < 2.220446049250313e-16
+    out = np.where(inf0 & inf1 | near, 0.5, np.where(inf0, 0.0, 1.0))
+    own = both & ~near
+    out[own] = np.clip((t - v0[own]) / (v1[own] - v0[own]), 0.0, 1.0)
+    return out
+
+
+def segments_of(row, col, tl, tr, br, bl, t: float) -> tuple[np.ndarray, ...]:
+    """The segments of one threshold in cells given as arrays, as ``segments`` has them: row, col, k, x0, y0 and the numbers of the edges that they enter and leave by.
+
+    An edge (kind, row, col) has the number kind + 2 * ((row + 1) * 2**30 + col + 1).
+    """
+    code = 8 * (tl >= t) + 4 * (tr >= t) + 2 * (br >= t) + 1 * (bl >= t)
+    live = np.flatnonzero((code > 0) & (code < 15))
+    row, col, tl, tr, br, bl, code = (v[live] for v in (row, col, tl, tr, br, bl, code))
+    code = np.where((tl + tr + br + bl) * 0.25 >= t, code, code + 16)
+    at, k = np.nonzero(_EDGES[code, :, 0] >= 0)
+    enter, leave = _EDGES[code[at], k].T
+    row, col, corner = row[at], col[at], np.stack([tl, tr, br, bl])[:, at]
+    # By edge (T, R, B, L): the corners that it lies between, and where it begins.
+    place = np.arange(len(at))
+    cut = _fractions(corner[np.array([0, 1, 3, 0])[enter], place], corner[np.array([1, 2, 2, 3])[enter], place], t)
+    level = enter % 2 == 0
+    x0 = col + np.where(level, cut, enter == 1)
+    y0 = row + np.where(level, enter == 2, cut)
+
+    def number(edge):
+        kind = edge % 2
+        return kind + 2 * ((row + (edge == 2) + 1) * (1 << 30) + col + (edge == 1) + 1)
+
+    return row, col, k, x0, y0, number(enter), number(leave)
+
+
 def quantized(x: Column) -> Column:
     """A coordinate in steps of 1e-10, half away from zero."""
     return F.round(x * 1e10).cast("long")

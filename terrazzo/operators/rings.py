@@ -17,8 +17,8 @@ from ..functions.affine import Affine
 from ..functions.geometry import RINGS
 from ..staging import ready
 
-#: Regions are assembled together in so many groups for each shuffle partition.
-GROUPS_PER_PARTITION = 2
+#: Regions are assembled together in so many groups for each shuffle partition at least, and in as many more as edges call for.
+GROUPS_PER_PARTITION, PER_GROUP = 2, 1 << 19
 
 
 def boundary_edges(labels: DataFrame) -> DataFrame:
@@ -62,6 +62,12 @@ def cycles(successor: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start, dist[start] - dist
 
 
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of the next."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
 def _nested(points: tuple[np.ndarray, np.ndarray], per_ring: np.ndarray, per_polygon: np.ndarray) -> pa.Array:
     xy = pa.StructArray.from_arrays([pa.array(points[0]), pa.array(points[1])], ["x", "y"])
     rings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_ring)]).astype(np.int32)), xy)
@@ -157,6 +163,6 @@ def assemble(edges: DataFrame, transform: Affine = Affine(), simplify: bool = Fa
         )
         return out.filter(pa.array(area >= np.finfo(float).eps)) if n else out
 
-    groups = GROUPS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(GROUPS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // PER_GROUP))
     dealt = edges.withColumn("deal", F.pmod(F.xxhash64("raster_id", "region_id"), F.lit(groups)))
     return dealt.groupBy("deal").applyInArrow(run, FEATURES)

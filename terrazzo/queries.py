@@ -91,7 +91,7 @@ def q12_polygon_wkb_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_polygon_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_wkb(_polygons(spark, sf_dir, transform=TRANSFORM)).select("region_id", "geometry", "value")
+    return with_wkb(_polygons(spark, sf_dir, transform=TRANSFORM)).select("region_id", F.hex("geometry").alias("geometry"), "value")
 
 
 def q14_polygon_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +149,14 @@ def q22_isoband_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q23_isobands_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_wkb(_bands(spark, sf_dir)).select("feature_id", "geometry", "value")
+    found = with_wkb(_bands(spark, sf_dir))
+    outer, points = F.element_at("rings", 1), F.flatten("rings")
+
+    def total(k: str):
+        return F.round(F.aggregate(points, F.lit(0.0), lambda s, p: s + p[k]), 4)
+
+    first = F.element_at(outer, 1)
+    return found.select("feature_id", "value", F.octet_length("geometry").cast("long").alias("bytes"), F.round(first["x"], 6).alias("x"), F.round(first["y"], 6).alias("y"), total("x").alias("sum_x"), total("y").alias("sum_y"))
 
 
 def q24_tiled_then_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,6 +279,85 @@ _SEGMENTS = f"""{_CODES},
 
 _A, _B, _C, _D, _E, _F = TRANSFORM
 
+#: Rings by walking the edges from every one that might be a ring's first; points are (x, y) in order, closed.
+_RINGS = f"""{_L4}{_EDGES},
+    e AS (SELECT *, row_number() OVER (ORDER BY region_id, y0, x0, dir) AS id FROM edges),
+    nxt AS (
+      SELECT a.id, arg_min(b.id, CASE (b.dir - a.dir + 4) % 4 WHEN 1 THEN 0 WHEN 0 THEN 1 WHEN 3 THEN 2 ELSE 3 END) AS nid
+      FROM e a JOIN e b ON b.region_id = a.region_id AND b.x0 = a.x1 AND b.y0 = a.y1 GROUP BY a.id),
+    walk AS (
+      SELECT id AS start, id, 0 AS step FROM e WHERE dir IN (0, 2)
+      UNION ALL
+      SELECT w.start, n.nid, w.step + 1 FROM walk w JOIN nxt n ON n.id = w.id WHERE n.nid <> w.start),
+    walked AS (
+      SELECT w.start, any_value(s.region_id) AS region_id, any_value(s.dir) AS dir, any_value(s.y0 * 100000 + least(s.x0, s.x1)) AS place,
+        min(e.y0 * 100000 + least(e.x0, e.x1)) FILTER (e.dir = s.dir) AS least_, sum(e.x0 * e.y1 - e.x1 * e.y0) AS twice
+      FROM walk w JOIN e ON e.id = w.id JOIN e s ON s.id = w.start GROUP BY w.start),
+    rings AS (SELECT * FROM walked WHERE place = least_ AND (twice > 0) = (dir = 0)),
+    steps AS (
+      SELECT r.region_id, r.start, r.dir, r.place, w.step, count(*) OVER (PARTITION BY r.start) AS n, e.x0, e.y0
+      FROM rings r JOIN walk w USING (start) JOIN e ON e.id = w.id),
+    points AS (
+      SELECT region_id, start, dir, place, n, step, x0, y0 FROM steps
+      UNION ALL SELECT region_id, start, dir, place, n, n, x0, y0 FROM steps WHERE step = 0)"""
+
+
+def _geojson_sql(x: str, y: str, order: str) -> str:
+    """Coordinates of each region as text."""
+    return f"""{_RINGS},
+    ring_text AS (SELECT region_id, start, dir, place, '[' || string_agg('[' || CAST({x} AS DOUBLE) || ',' || CAST({y} AS DOUBLE) || ']', ',' ORDER BY {order}) || ']' AS t FROM points GROUP BY ALL),
+    texts AS (SELECT region_id, '{{"type":"Polygon","coordinates":[' || string_agg(t, ',' ORDER BY dir, place) || ']}}' AS geometry FROM ring_text GROUP BY region_id),
+    known AS (SELECT region_id, arg_min(value, pos) AS value, CAST(count(*) AS DOUBLE) AS area FROM labels GROUP BY region_id)"""
+
+
+#: A whole number of at most 52 bits as the bytes of a double, little-endian; of a count as those of 32 bits.
+_REVERSED = " || ".join(f"substr(h, {k}, 2)" for k in range(15, 0, -2))
+_WKB = f"""{_RINGS},
+    moved AS (SELECT *, CAST({_A} * x0 + {_C} AS BIGINT) AS x, CAST({_E} * y0 + {_F} AS BIGINT) AS y FROM points),
+    whole AS (SELECT DISTINCT unnest([x, y]) AS v FROM moved),
+    raised AS (SELECT v, abs(v) AS a, CAST(floor(log2(greatest(abs(v), 1))) AS INT) AS e2 FROM whole),
+    bits AS (SELECT v, CASE WHEN v = 0 THEN repeat('0', 16) ELSE
+        format('{{:016X}}', CAST((CASE WHEN v < 0 THEN 2048 ELSE 0 END + 1023 + e2) AS UBIGINT) * 4503599627370496 + CAST((a - (1::BIGINT << e2)) * (1::BIGINT << (52 - e2)) AS UBIGINT)) END AS h FROM raised),
+    num AS (SELECT v, {_REVERSED} AS t FROM bits),
+    ring_hex AS (
+      SELECT region_id, start, dir, place, any_value(format('{{:02X}}{{:02X}}0000', (n + 1) % 256, (n + 1) // 256)) || string_agg(a.t || b.t, '' ORDER BY n - step) AS t
+      FROM moved JOIN num a ON a.v = x JOIN num b ON b.v = y GROUP BY region_id, start, dir, place),
+    texts AS (SELECT region_id, '0103000000' || format('{{:02X}}{{:02X}}0000', count(*) % 256, count(*) // 256) || string_agg(t, '' ORDER BY dir, place) AS geometry FROM ring_hex GROUP BY region_id),
+    known AS (SELECT region_id, arg_min(value, pos) AS value FROM labels GROUP BY region_id)"""
+
+#: Lines by following segments over grid edges from each line's first cell, bands from lines, holes by the even-odd rule.
+_BANDS = f"""{_SEGMENTS.replace("WITH ", "WITH RECURSIVE ", 1).replace('SELECT threshold, "row", col, k, pt[f][1]', 'SELECT threshold, "row", col, k, f, g, pt[f][1]')},
+    ends AS (
+      SELECT *, row_number() OVER (ORDER BY threshold, "row", col, k) AS id, ((CAST("row" AS BIGINT) + 1) * 52 + col + 1) * 2 + k AS ring_id,
+        [(f IN ('L', 'R'))::INT, "row" + (f = 'B')::INT, col + (f = 'R')::INT] AS enters, [(g IN ('L', 'R'))::INT, "row" + (g = 'B')::INT, col + (g = 'R')::INT] AS leaves FROM segments),
+    nxt AS (SELECT a.id, b.id AS nid FROM ends a JOIN ends b ON b.threshold = a.threshold AND b.enters = a.leaves),
+    walk AS (
+      SELECT id AS start, id, 0 AS step FROM ends
+      UNION ALL
+      SELECT w.start, n.nid, w.step + 1 FROM walk w JOIN nxt n ON n.id = w.id WHERE n.nid > w.start),
+    closed AS (SELECT DISTINCT w.start FROM walk w JOIN nxt n ON n.id = w.id AND n.nid = w.start),
+    sides AS (SELECT w.start, w.step, e.* FROM closed JOIN walk w USING (start) JOIN ends e ON e.id = w.id),
+    lines AS (
+      SELECT start, any_value(threshold) AS threshold, min(ring_id) AS ring_id, count(*) AS n, sum(x0 * y1 - x1 * y0) * 0.5 AS area, arg_min(x0, step) AS px, arg_min(y0, step) AS py, sum(x0) + arg_min(x0, step) AS sx, sum(y0) + arg_min(y0, step) AS sy
+      FROM sides GROUP BY start HAVING count(*) >= 3 AND abs(sum(x0 * y1 - x1 * y0) * 0.5) >= 2.220446049250313e-16),
+    band(band, lo, hi) AS (VALUES {", ".join(f"({k}, {lo}, {hi})" for k, lo, hi in grid.bands(THRESHOLDS))}),
+    outer_ AS (SELECT band, lo, l.* FROM lines l JOIN band ON l.threshold = lo WHERE area < 0),
+    holes AS (
+      SELECT band, 2 * ring_id AS key, l.* FROM lines l JOIN band ON l.threshold = lo WHERE area >= 0
+      UNION ALL SELECT band, 2 * ring_id + 1 AS key, l.* FROM lines l JOIN band ON l.threshold = hi WHERE area < 0),
+    sees AS (
+      SELECT h.band, h.key, o.ring_id, count(*) AS c
+      FROM outer_ o JOIN sides s USING (start) JOIN holes h ON h.band = o.band AND floor(h.py) = floor(least(s.y0, s.y1))
+      WHERE (s.y0 > h.py) <> (s.y1 > h.py) AND h.px < (s.x1 - s.x0) * (h.py - s.y0) / (s.y1 - s.y0) + s.x0 GROUP BY ALL),
+    placed AS (SELECT band, key, min(ring_id) AS ring_id FROM sees WHERE c % 2 = 1 GROUP BY ALL),
+    alone AS (SELECT band, min(ring_id) AS only_ FROM outer_ GROUP BY band HAVING count(*) = 1),
+    filled AS (SELECT h.*, coalesce(a.only_, p.ring_id) AS owner FROM holes h LEFT JOIN placed p ON p.band = h.band AND p.key = h.key LEFT JOIN alone a ON a.band = h.band),
+    inner_ AS (SELECT band, owner, count(*) AS n_holes, sum(n + 1) AS n, sum(abs(area)) AS area, sum(sx) AS sx, sum(sy) AS sy FROM filled WHERE owner IS NOT NULL GROUP BY ALL),
+    features AS (
+      SELECT o.band * 281474976710656 + 2 * o.ring_id AS feature_id, CAST(o.lo AS DOUBLE) AS value, 1 + coalesce(n_holes, 0) AS n_rings, o.n + 1 + coalesce(i.n, 0) AS n_points, abs(o.area) - coalesce(i.area, 0) AS area,
+        o.px, o.py, o.sx + coalesce(i.sx, 0) AS sx, o.sy + coalesce(i.sy, 0) AS sy
+      FROM outer_ o LEFT JOIN inner_ i ON i.band = o.band AND i.owner = o.ring_id WHERE abs(o.area) - coalesce(i.area, 0) > 2.220446049250313e-16)"""
+
 ORACLE_SQL: dict[str, str] = {
     "q01_pixels_from_rows": f'WITH {_PX} SELECT CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, value FROM px',
     "q02_nodata_mask": f'WITH {_PX2} SELECT value, count(*) AS n, CAST(sum("row") AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM px WHERE value <> 4 AND pos % 7 <> 0 GROUP BY value',
@@ -290,6 +376,10 @@ ORACLE_SQL: dict[str, str] = {
     "q10_region_perimeter_holes": f"{_L4}{_STATS} SELECT region_id, perimeter, n_holes FROM stats",
     "q11_polygon_summary": _summary_sql(_L4),
     "q12_polygon_wkb_size": f"{_L4}{_STATS} SELECT region_id, 9 + 4 * (n_holes + 1) + 16 * (perimeter + n_holes + 1) AS bytes, true AS as_counted FROM stats",
+    "q13_polygon_wkb": f"{_WKB} SELECT region_id, geometry, value FROM texts JOIN known USING (region_id)",
+    "q14_polygon_geojson": f"{_geojson_sql(f'{_A} * x0 + {_C}', f'{_E} * y0 + {_F}', 'n - step')} SELECT region_id, geometry, value FROM texts JOIN known USING (region_id)",
+    "q15_features": f"""{_geojson_sql("x0", "y0", "step")}
+        SELECT region_id, '{{"type":"Feature","properties":{{"value":' || value || ',"area":' || area || '}},"geometry":' || geometry || '}}' AS feature FROM texts JOIN known USING (region_id)""",
     "q16_transform_bbox": f"""{_L4} SELECT region_id, {_A} * min(col) + {_C} AS min_x, {_A} * (max(col) + 1) + {_C} AS max_x,
         {_E} * (max("row") + 1) + {_F} AS min_y, {_E} * min("row") + {_F} AS max_y, true AS ccw FROM labels GROUP BY region_id""",
     "q17_threshold_bands": "SELECT CAST(k AS INT) AS band_idx, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM (VALUES (0, 10.005, 30.005), (1, 30.005, 60.005)) t(k, lo, hi)",
@@ -298,6 +388,8 @@ ORACLE_SQL: dict[str, str] = {
     "q20_segments": f"""{_SEGMENTS} SELECT CAST(threshold AS DOUBLE) AS threshold, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, CAST(k AS INT) AS k,
         round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM segments""",
     "q21_isoline_area": f"{_SEGMENTS} SELECT CAST(threshold AS DOUBLE) AS threshold, round(sum(x0 * y1 - x1 * y0) * 0.5, 3) AS area, count(*) AS n FROM segments GROUP BY 1",
+    "q22_isoband_summary": f"{_BANDS} SELECT value, count(*) AS n, CAST(sum(n_rings) AS BIGINT) AS n_rings, CAST(sum(n_points) AS BIGINT) AS n_points, round(sum(area), 6) AS area FROM features GROUP BY value",
+    "q23_isobands_wkb": f"""{_BANDS} SELECT feature_id, value, CAST(9 + 4 * n_rings + 16 * n_points AS BIGINT) AS bytes, round(px, 6) AS x, round(py, 6) AS y, round(sx, 4) AS sum_x, round(sy, 4) AS sum_y FROM features""",
     "q24_tiled_then_merged": _summary_sql(_L4),
     "q25_class_area": f"{_L4} SELECT value, CAST(count(*) AS DOUBLE) AS area, count(DISTINCT region_id) AS n_polygons FROM labels GROUP BY value",
     "q26_class_area_delta": f"WITH {_PX} SELECT value, CAST(count(*) AS DOUBLE) AS area_1, CAST(count(*) FILTER (value <> 5) AS DOUBLE) AS area_2, CAST(count(*) FILTER (value = 5) AS DOUBLE) AS delta FROM px GROUP BY value",

@@ -12,7 +12,7 @@ from terrazzo import queries
 from terrazzo.functions.affine import Affine
 from terrazzo.functions.encode import with_wkb
 from terrazzo.functions.geometry import signed_area, wkb_size
-from terrazzo.operators import grid
+from terrazzo.operators import grid, march
 from terrazzo.operators.label import label_regions, region_stats
 from terrazzo.operators.rings import cycles
 from terrazzo.plans.isobands import isobands
@@ -146,6 +146,42 @@ def test_isobands_of_hills(spark):
     assert abs(sum(r.area for r in found) - sum(r.area for r in turned)) < 1e-9
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_isobands_over_tiles(spark, strict):
+    """Small tiles give what one tile gives, on two rasters with gaps, and strict bands fill what lies between their lines."""
+    whole = synthetic.random_floats(spark, 37, 29)
+    gaps = whole.where(F.pmod(F.xxhash64("row", "col"), F.lit(19)) != 0).withColumn("raster_id", F.lit("q"))
+    levels = [0.2, 0.5, 0.8]
+
+    def found(tile):
+        rows = isobands(whole.unionByName(gaps), 37, 29, levels, strict=strict, tile=tile).collect()
+        return sorted((r.raster_id, r.feature_id, r.value, r.n_points, round(r.area, 9), tuple(tuple((p.x, p.y) for p in ring) for ring in r.rings)) for r in rows)
+
+    one = found(64)
+    assert found(5) == one and {r[0] for r in one} == {"r", "q"}
+    cells = march.segments(march.codes(march.cells(whole, 37, 29, 8), levels))
+    between = {r.threshold: -r.area for r in cells.groupBy("threshold").agg((F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2).alias("area")).collect()}
+    if strict:
+        for lo, hi in zip(levels, levels[1:]):
+            assert abs(sum(r[4] for r in one if r[0] == "r" and r[2] == lo) - (between[lo] - between[hi])) < 1e-6
+
+
+def test_array_segments_equal_column_segments(spark):
+    rng = np.random.default_rng(5)
+    grid = rng.integers(0, 6, (12, 15)) / 2.0
+    px = spark.createDataFrame([("r", r, c, float(grid[r, c])) for r in range(12) for c in range(15) if (r, c) != (4, 7)], "raster_id string, row int, col int, value double")
+    cells = march.cells(px, 15, 12, 6)
+    want = {(r.threshold, r.row, r.col, r.k): (r.x0, r.y0, tuple(r.enters), tuple(r.leaves)) for r in march.segments(march.codes(cells, [0.5, 1.3, 2.0])).collect()}
+    rows = cells.toPandas()
+    columns = [rows[c].to_numpy() for c in ("row", "col", "tl", "tr", "br", "bl")]
+    name = lambda k: (k % 2, (k // 2 >> 30) - 1, k // 2 % (1 << 30) - 1)
+    got = {}
+    for t in (0.5, 1.3, 2.0):
+        for r, c, k, x, y, a, b in zip(*(v.tolist() for v in march.segments_of(*columns, t))):
+            got[t, r, c, k] = (x, y, name(a), name(b))
+    assert got == want and any(k for _, _, _, k in got)
+
+
 def test_strict_bands_keep_pits(spark):
     a = np.zeros((9, 9))
     a[1:8, 1:8] = 9.0
