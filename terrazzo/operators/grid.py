@@ -87,6 +87,15 @@ def bands(thresholds: list[float]) -> list[tuple[int, float, float]]:
     return [(k, lo, hi) for k, (lo, hi) in enumerate(zip(t, t[1:]))]
 
 
+def band_table(thresholds: DataFrame, value: str) -> DataFrame:
+    """(band_idx, lo, hi) of the finite values of a column, as ``bands`` has them. Thresholds are few: they are ordered in one task."""
+    v = F.col(value).cast("double")
+    finite = thresholds.where(F.abs(v) < F.lit(float("inf"))).select((v + F.lit(0.0)).alias("lo")).distinct()
+    order = Window.orderBy("lo")
+    found = finite.select((F.row_number().over(order) - 1).cast("int").alias("band_idx"), "lo", F.lead("lo").over(order).alias("hi"))
+    return found.where("hi IS NOT NULL")
+
+
 def runs(pixels_: DataFrame) -> DataFrame:
     """Horizontal runs of equal neighbouring values: raster_id, row, col0, col1, value, n_pixels."""
     w = Window.partitionBy("raster_id", "row").orderBy("col")

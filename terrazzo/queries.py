@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.affine import Affine
 from .functions.encode import feature_json, geojson, with_wkb
-from .functions.geometry import bounds, net_area, n_points, normalized, point_in_ring, signed_area, wkb_size
+from .functions.geometry import bounds, in_bounds, net_area, n_points, normalized, point_in_ring, signed_area, wkb_size
 from .operators import grid, march
 from .operators.label import label_regions, region_holes, region_stats
 from .operators.rings import boundary_edges
@@ -109,7 +109,9 @@ def q16_transform_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q17_threshold_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(grid.bands([60.005, 10.005, float("nan"), 30.005, 10.005, float("inf")]), "band_idx int, lo double, hi double")
+    """Bands between the sizes of parts; brands of five give thresholds that are not finite."""
+    odd = F.when(F.col("p_partkey") % 5 == 0, float("nan")).when(F.col("p_partkey") % 7 == 0, float("inf"))
+    return grid.band_table(tables.read(spark, sf_dir, "part").select(F.coalesce(odd, F.col("p_size").cast("double")).alias("size")), "size")
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,13 +182,34 @@ def q28_point_in_bbox_and_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each polygon, whether its first pixel's centre and that of the pixel left of it lie in its exterior."""
     outer = F.element_at("rings", 1)
     x, y = F.col("region_id") % W1 + 0.5, F.floor(F.col("region_id") / W1) + 0.5
-    return _polygons(spark, sf_dir).select("region_id", point_in_ring(x, y, outer).alias("own"), point_in_ring(x - 1, y, outer).alias("left"))
+    return _polygons(spark, sf_dir).select("region_id", point_in_ring(x, y, outer).alias("own"), point_in_ring(x - 1, y, outer).alias("left"), in_bounds(x - 1, y, bounds(outer)).alias("left_in_box"))
 
 
 def q29_top_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _polygons(spark, sf_dir).orderBy(F.desc("area"), "region_id").limit(20).select("region_id", "value", "area")
 
 
+def q30_arithmetic_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.arithmetic_breaks(tables.event_values(spark, sf_dir), "value", 7.5)
+
+
+def q31_tile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of a table of tiles: each order's row of 128 pixels is cut into tiles of 16, some of which have a mask."""
+    rows = R1(spark, sf_dir).withColumn("c0", F.floor(F.col("col") / 16).cast("int") * 16)
+    grouped = rows.groupBy("raster_id", F.col("row").alias("r0"), "c0").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("p"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.get(F.filter("p", lambda p: p["col"] == F.col("c0") + k), 0)["value"])
+    mask = F.when(F.col("r0") % 3 == 0, F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: (k % 5) != 0))
+    tiles = grouped.select("raster_id", "r0", "c0", F.lit(1).alias("h"), F.lit(16).alias("w"), at.alias("data"), mask.alias("mask"))
+    return _summary(polygonize(grid.from_tiles(tiles), W1))
+
+
+def q32_quantized_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments by threshold whose ends fall on one place in steps of 1e-10, and the largest step there is."""
+    found = march.segments(march.codes(_cells(spark, sf_dir), THRESHOLDS))
+    same = (march.quantized(F.col("x0")) == march.quantized(F.col("x1"))) & (march.quantized(F.col("y0")) == march.quantized(F.col("y1")))
+    return found.groupBy("threshold").agg(F.count_if(same).alias("n_points"), F.max(march.quantized(F.col("y0")) % 10_000_000_000).alias("largest"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for name, f in list(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 _PX = f"""px AS (SELECT o_orderkey // {W1} AS "row", o_orderkey % {W1} AS col, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS value, o_orderkey AS pos FROM orders)"""
@@ -382,7 +405,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT region_id, '{{"type":"Feature","properties":{{"value":' || value || ',"area":' || area || '}},"geometry":' || geometry || '}}' AS feature FROM texts JOIN known USING (region_id)""",
     "q16_transform_bbox": f"""{_L4} SELECT region_id, {_A} * min(col) + {_C} AS min_x, {_A} * (max(col) + 1) + {_C} AS max_x,
         {_E} * (max("row") + 1) + {_F} AS min_y, {_E} * min("row") + {_F} AS max_y, true AS ccw FROM labels GROUP BY region_id""",
-    "q17_threshold_bands": "SELECT CAST(k AS INT) AS band_idx, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM (VALUES (0, 10.005, 30.005), (1, 30.005, 60.005)) t(k, lo, hi)",
+    "q17_threshold_bands": """WITH t AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS lo FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0),
+        b AS (SELECT CAST(row_number() OVER (ORDER BY lo) - 1 AS INT) AS band_idx, lo, lead(lo) OVER (ORDER BY lo) AS hi FROM t) SELECT * FROM b WHERE hi IS NOT NULL""",
     "q18_cells": f"""WITH {_R4} SELECT CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, {", ".join(f"CASE WHEN isinf({k}) THEN -1.0 ELSE {k} END AS {k}" for k in ("tl", "tr", "br", "bl"))} FROM cells""",
     "q19_codes": f'{_CODES} SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(code AS INT) AS code, count(*) AS n, CAST(sum("row") AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM codes GROUP BY ALL',
     "q20_segments": f"""{_SEGMENTS} SELECT CAST(threshold AS DOUBLE) AS threshold, CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, CAST(k AS INT) AS k,
@@ -397,7 +421,13 @@ ORACLE_SQL: dict[str, str] = {
     "q28_point_in_bbox_and_ring": f"""{_L4}{_EDGES},
         p AS (SELECT DISTINCT region_id, region_id % {W1} + 0.5 AS x, region_id // {W1} + 0.5 AS y FROM labels)
         SELECT p.region_id, count(*) FILTER (x0 = x1 AND greatest(y0, y1) > y AND least(y0, y1) < y AND x < x0) % 2 = 1 AS own,
-          count(*) FILTER (x0 = x1 AND greatest(y0, y1) > y AND least(y0, y1) < y AND x - 1 < x0) % 2 = 1 AS "left"
+          count(*) FILTER (x0 = x1 AND greatest(y0, y1) > y AND least(y0, y1) < y AND x - 1 < x0) % 2 = 1 AS "left", any_value(x) - 1 >= min(x0) AND any_value(x) - 1 <= max(x0) AND any_value(y) >= min(y0) AND any_value(y) <= max(y0) AS left_in_box
         FROM p JOIN edges USING (region_id) GROUP BY p.region_id""",
+    "q30_arithmetic_breaks": """WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE isfinite(value)),
+        k AS (SELECT unnest(range(CAST(ceil(lo / 7.5) AS BIGINT), CAST(ceil(hi / 7.5) AS BIGINT))) AS k FROM e)
+        SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS break_idx, CAST(k * 7.5 AS DOUBLE) AS value FROM k""",
+    "q31_tile_table": _summary_sql("WITH RECURSIVE " + _labels(_PX.replace("FROM orders", f"FROM orders WHERE NOT ((o_orderkey // {W1}) % 3 = 0 AND (o_orderkey % {W1} % 16) % 5 = 0)"), _FOUR)),
+    "q32_quantized_segments": f"""{_SEGMENTS}, q AS (SELECT threshold, round(x0 * 1e10)::BIGINT AS a, round(y0 * 1e10)::BIGINT AS b, round(x1 * 1e10)::BIGINT AS c, round(y1 * 1e10)::BIGINT AS d FROM segments)
+        SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (a = c AND b = d) AS n_points, max(b % 10000000000) AS largest FROM q GROUP BY threshold""",
     "q29_top_regions": f"{_L4} SELECT region_id, any_value(value) AS value, CAST(count(*) AS DOUBLE) AS area FROM labels GROUP BY region_id ORDER BY area DESC, region_id LIMIT 20",
 }
