@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: The query's rules: verdict by (host, path).
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: A host is blocked if its bad rate is above LIMIT with all but BOUND standard deviations of doubt.
@@ -46,15 +48,25 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    """One of SUFFIXES, else the last name."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def _names(host: Column, suffixes: list[str]) -> Column:
+    """How many names the host's longest suffix has: 1 if none of ``suffixes`` fits."""
+    by = {n: [s for s in suffixes if s.count(".") + 1 == n] for n in sorted({s.count(".") + 1 for s in suffixes})}
+    out = F.lit(1)
+    for n, own in by.items():
+        out = F.when(F.substring_index(host, ".", -n).isin(own), n).otherwise(out)
+    return out
+
+
+def suffix_of(host: Column, suffixes: list[str] = SUFFIXES) -> Column:
+    """The longest of ``suffixes`` that the host ends with, else its last name."""
+    names = F.split(host, r"\.")
+    return F.array_join(F.slice(names, -F.least(_names(host, suffixes), F.size(names)), F.size(names)), ".")
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, suffixes: list[str] = SUFFIXES) -> Column:
     """The registered domain: the suffix and one name before it."""
-    return F.when(F.substring_index(host, ".", -2).isin(SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    names = F.split(host, r"\.")
+    return F.array_join(F.slice(names, -F.least(_names(host, suffixes) + 1, F.size(names)), F.size(names)), ".")
 
 
 def _strength(rates: DataFrame, mean: str) -> float:
@@ -70,19 +82,21 @@ def _strength(rates: DataFrame, mean: str) -> float:
     return min(high, max(low, 1 / rho - 1)) if rho > 0 else high
 
 
-def reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+def reputation(outcomes: DataFrame, hosts: DataFrame | None = None, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """Posterior of each host that ``outcomes`` (host, bad 0/1) or ``hosts`` (host) knows: host, n, bad, rate, lower, upper.
 
     ``bad`` null is left out. A host without labels has n = 0 and the rate of its domain,
     else of its suffix, else of all. Its bounds come from the least strength of the levels
     from there down to it, for it may differ from that rate as much as they differ.
+    Pages are counted by host once; all levels are sums of these counts.
     """
     known = outcomes.where(F.col("bad").isNotNull() & F.col("host").isNotNull()).select("host", F.col("bad").cast("long").alias("bad"))
     labelled = known.groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    labelled = labelled.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    domain, suffix = domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix")
+    labelled = stage(labelled.select("host", "n", "bad", domain, suffix), "counts")
     total = labelled.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = (total["bad"] or 0) / total["n"] if total["n"] else 0.0
-    level = labelled.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    level = stage(labelled.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     tops = level.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("above", F.lit(mean))
     s_top = _strength(tops, "above")
     tops = tops.select("suffix", ((F.col("bad") + F.lit(s_top * mean)) / (F.col("n") + F.lit(s_top))).alias("of_suffix"))
@@ -94,7 +108,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame
     if hosts is not None:
         new = hosts.where("host IS NOT NULL AND host <> ''").select("host").distinct().join(labelled.select("host"), "host", "left_anti")
         none = F.lit(0).cast("long")
-        every = every.unionByName(new.select("host", none.alias("n"), none.alias("bad"), domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix")))
+        every = every.unionByName(new.select("host", none.alias("n"), none.alias("bad"), domain, suffix))
     every = every.join(level, "domain", "left").join(tops, "suffix", "left")
     above = F.coalesce("of_domain", "of_suffix", F.lit(mean))
     weight = F.when(F.col("of_domain").isNotNull(), s).when(F.col("of_suffix").isNotNull(), min(s, s_level)).otherwise(min(s, s_level, s_top))
@@ -105,7 +119,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame
     return every.select("host", "n", "bad", rate.alias("rate"), (rate - spread).alias("lower"), (rate + spread).alias("upper"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str]) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], suffixes: list[str] = SUFFIXES) -> DataFrame:
     """Judge each url: page_id, host, path, rule, verdict.
 
     The longest fitting rule decides; else a host is blocked when the lower bound of
@@ -115,7 +129,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: dict[str, str]) -> DataF
     """
     rows = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    bad = reputation(outcomes, rows.select("host")).where(F.col("lower") > LIMIT).select("host", F.lit("block").alias("reputed"))
+    bad = reputation(outcomes, rows.select("host"), suffixes).where(F.col("lower") > LIMIT).select("host", F.lit("block").alias("reputed"))
     verdict = F.lit(None).cast("string")
     for rule, said in rules.items():
         verdict = F.when(F.col("rule") == rule, said).otherwise(verdict)

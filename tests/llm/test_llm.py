@@ -6,6 +6,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrazzo.llm import bpe, common, decontaminate, exact_dedup, hosts, jaccard_join, language, quality, substring_dedup, suffix_dedup, toxicity
 from terrazzo.operators import components
@@ -333,6 +334,53 @@ def test_hosts(spark):
     assert hosts.judge(pages, outcomes.where("false"), hosts.RULES).where("verdict = 'block'").count() == 3
 
 
+def test_reputation_against_brute_force(spark):
+    """Each level's counts shrunk to the level above, in plain Python."""
+    rng = random.Random(17)
+    names = [f"h{k}.d{k % 7}.{('org', 'net', 'co.uk')[k % 3]}" for k in range(40)]
+    rows = [(h, int(rng.random() < (0.9 if k % 7 == 3 else 0.2))) for k, h in enumerate(names) for _ in range(1 + k % 9)]
+    got = {r.host: r for r in hosts.reputation(spark.createDataFrame(rows + [(None, 1), ("x.org", None)], "host string, bad int"), spark.createDataFrame([("new.d3.org",), ("a.b.nowhere",)], "host string")).collect()}
+    suffix = lambda h: "co.uk" if h.endswith(".co.uk") else h.split(".")[-1]
+    domain = lambda h: ".".join(h.split(".")[-(suffix(h).count(".") + 2) :])
+
+    def sums(key):
+        out = {}
+        for h, bad in rows:
+            n, b = out.get(key(h), (0, 0))
+            out[key(h)] = (n + 1, b + bad)
+        return out
+
+    def strength(level, above):
+        n, k = sum(x for x, _ in level.values()), len(level)
+        s = sum(x * (b / x - above(h)) ** 2 for h, (x, b) in level.items())
+        v = sum(x * above(h) * (1 - above(h)) for h, (x, _) in level.items())
+        each = n / k
+        rho = (s / v * each - 1) / max(each - 1, 1e-9)
+        return min(1000.0, max(2.0, 1 / rho - 1)) if rho > 0 else 1000.0
+
+    tops, level, own = sums(suffix), sums(domain), sums(lambda h: h)
+    mean = sum(b for _, b in rows) / len(rows)
+    s1 = strength(tops, lambda _: mean)
+    of_top = {h: (b + s1 * mean) / (n + s1) for h, (n, b) in tops.items()}
+    s2 = strength(level, lambda h: of_top[suffix(h)])
+    of_level = {h: (b + s2 * of_top[suffix(h)]) / (n + s2) for h, (n, b) in level.items()}
+    s3 = strength(own, lambda h: of_level[domain(h)])
+    for h in [*names, "new.d3.org", "a.b.nowhere"]:
+        n, b = own.get(h, (0, 0))
+        known, top = domain(h) in of_level, suffix(h) in of_top
+        w, above = (s3, of_level[domain(h)]) if known else (min(s3, s2), of_top[suffix(h)]) if top else (min(s1, s2, s3), mean)
+        x, y = b + w * above, n - b + w * (1 - above)
+        rate = x / (x + y)
+        assert abs(got[h].rate - rate) < 1e-9 and abs(got[h].lower - (rate - 1.64 * (rate * (1 - rate) / (x + y + 1)) ** 0.5)) < 1e-9, h
+    assert set(got) == {*names, "new.d3.org", "a.b.nowhere"}
+
+
+def test_suffix_rules(spark):
+    rows = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("uk",), ("x.example.com",), ("",), ("a.b.city.kobe.jp",)], "h string")
+    got = {r.h: (r.s, r.d) for r in rows.select("h", hosts.suffix_of(F.col("h"), [*hosts.SUFFIXES, "city.kobe.jp"]).alias("s"), hosts.domain_of(F.col("h"), [*hosts.SUFFIXES, "city.kobe.jp"]).alias("d")).collect()}
+    assert got == {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "x.example.com": ("com", "example.com"), "": ("", ""), "a.b.city.kobe.jp": ("city.kobe.jp", "b.city.kobe.jp")}
+
+
 def test_hosts_without_labels_fall_back(spark):
     urls = ["http://new.spam.com/a", "http://new.fine.com/a", "http://new.spam.co.uk/a", "http://new.fine.co.uk/a", "http://other.test/a", "nothing"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
