@@ -4,14 +4,17 @@ Passages of the corpus form a TF-IDF matrix over the words of the benchmark. Its
 singular vectors come from a distributed randomised decomposition: every task adds up
 A'(A W) for a fixed random W over its own passages, the sum is turned into singular
 vectors by the Nystroem formula on the driver, which only ever sees a matrix of fixed
-size. Passages and benchmark items meet in the latent space by cosine; what is close is
-compared word by word: a document is contaminated when the longest common subsequence
-covers most of an item, or a smaller part of it with the item's ending (its answer) in
-place. The cosine alone would miss items that fill only a part of a passage. So each item
-is also looked for by its rarest words (its anchors): so many of them that no stretch with
-fewer than a few can be a leak. Each stretch with that many is compared too, and every
-leak is found whatever its cosine: the cosine never rules one out. Everything is narrow except the sums, whose size
-doesn't depend on the corpus.
+size. Word counts cover all of the corpus, the decomposition about FIT_PASSAGES passages.
+
+An item is looked for among windows as long as itself. A window whose cosine with the
+item in the latent space is COSINE or more is a candidate; it is compared word by
+word: a document is contaminated when the longest common subsequence covers most of an
+item, or a smaller part of it with the item's ending (its answer) in place. Vectors are
+only made where a leak can be at all: of an item's rarest words (its anchors), so many
+are taken that by the pigeonhole principle every stretch that the later comparison
+accepts has a few of them. This bound rules out nothing that would be found. Items of up
+to SHORT words, whose cosines say little, need no cosine. Everything is narrow except
+the sums, whose size doesn't depend on the corpus.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from .common import documents_of, keyed, mix, ready, slices, utf8, word_hashes, words
 from .segments import ranges
 
-#: Words of a passage and between passages; rank of the latent space and random directions drawn.
-PASSAGE, STRIDE, RANK, DRAWN = 32, 16, 48, 64
-#: Least cosine of a candidate.
-COSINE = 0.65
+#: Words of a passage; rank of the latent space and random directions drawn; passages that it is fitted on.
+PASSAGE, RANK, DRAWN, FIT_PASSAGES = 32, 96, 128, 1 << 18
+#: Least cosine of a candidate with an item of more than SHORT words.
+COSINE, SHORT = 0.5, 12
 #: So many anchors of an item stand in every leak of it.
 ANCHORS = 4
 #: Share of an item's words, in order, that makes a leak: alone, or with as much of its ending.
@@ -135,20 +138,14 @@ class Space:
         self.singular = np.sqrt(np.maximum(s[:RANK] ** 2 - shift, 0))
         self.basis = u[:, :RANK]
         self.project = (self.idf[:, None] * self.basis).astype(np.float32)
-        rows, owner = [], []
-        for k, own in enumerate(self.item_terms):
-            last = max(0, len(own) - PASSAGE)
-            for a in sorted({*range(0, last + 1, STRIDE), last}):
-                rows.append(self.project[own[a : a + PASSAGE]].sum(axis=0))
-                owner.append(k)
-        items = np.array(rows, np.float32).reshape(-1, RANK)
-        self.items = (items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)).T.copy()
-        self.owner = np.array(owner, np.int64)
+        items = np.array([self.project[own].sum(axis=0) for own in self.item_terms], np.float32).reshape(-1, RANK)
+        self.items = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
         self.anchor()
         del self.random
 
     def anchor(self) -> None:
         """Anchors of each item by word. A leak lacks n - least words of an item at most, so of that many and ``met`` more it has ``met``."""
+        self.length = np.array([len(w) for w in self.words], np.int64)
         self.span = np.array([span_of(len(w)) for w in self.words], np.int64)
         self.step = np.array([step_of(len(w)) for w in self.words], np.int64)
         self.met = np.zeros(len(self.words), np.int64)
@@ -164,15 +161,6 @@ class Space:
         self.first_anchored = np.cumsum(self.n_anchored) - self.n_anchored
 
 
-def passages(per_row: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word and number of words of each passage; every word of a row is in one."""
-    count = np.where(per_row > 0, np.maximum(1, -(-(per_row - PASSAGE) // stride) + 1), 0)
-    row = np.repeat(np.arange(len(per_row)), count)
-    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    first = np.minimum(k * stride, np.maximum(per_row[row] - PASSAGE, 0))
-    return row, first + (np.cumsum(per_row) - per_row)[row], np.minimum(per_row[row], PASSAGE)
-
-
 def _summed(rows: DataFrame, width: int) -> np.ndarray:
     """Add up (part, packed numbers) rows by part, and lay the parts end to end on the driver."""
 
@@ -193,7 +181,7 @@ def _parts(matrix: np.ndarray) -> pa.RecordBatch:
 
 
 def fit(docs: DataFrame, space: Space) -> Space:
-    """Occurrences of each word and number of passages, then the latent space, each in one pass over all of ``docs`` (doc_id, text)."""
+    """Occurrences of each word and number of passages in all of ``docs`` (doc_id, text), then the latent space from a share of the documents."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(space)
 
@@ -230,32 +218,14 @@ def fit(docs: DataFrame, space: Space) -> Space:
             total[sorted_[head]] += np.add.reduceat(y[passage[k][order]], head, axis=0)
         yield _parts(own.idf[:, None] * total)
 
-    total = _summed(docs.mapInArrow(products, "part long, numbers binary"), DRAWN)
+    share = min(1.0, FIT_PASSAGES / n) if n else 1.0
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(1 << 30))
+    chosen = docs.where(draw < F.lit(int(share * (1 << 30))))
+    total = _summed(chosen.mapInArrow(products, "part long, numbers binary"), DRAWN)
     space.solve(total if len(total) else np.zeros((space.size, DRAWN)))
     return space
 
 
-def search(space: Space, k: np.ndarray, column: np.ndarray, per_row: np.ndarray, cosine: float = COSINE):
-    """(row, item, first word, words) of each passage close to an item; k and column are those of ``Space.hits``."""
-    row, first, size = passages(per_row, STRIDE)
-    # Words of overlapping passages, from the running numbers of known words.
-    before, after = np.searchsorted(k, first), np.searchsorted(k, first + size)
-    live = np.flatnonzero(after > before)
-    found = []
-    for a in range(0, len(live), 1024):
-        own = live[a : a + 1024]
-        c = after[own] - before[own]
-        at = ranges(before[own], c)
-        x = space.latent(np.repeat(np.arange(len(own)), c), column[at], len(own), space.project)
-        norm = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
-        p, q = np.nonzero(x @ space.items >= (cosine * norm)[:, None])
-        if len(p):
-            pair = np.unique(p * len(space.ids) + space.owner[q])
-            found.append((own[pair // len(space.ids)], pair % len(space.ids)))
-    p, item = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return row[p], item, first[p], size[p]
-
-
 def anchored(space: Space, k: np.ndarray, word: np.ndarray, per_row: np.ndarray):
     """(row, item, first, last) of each shortest stretch with as many anchors of an item as a leak has; words count from the row's first."""
     count = space.n_anchored[word]
@@ -272,22 +242,37 @@ def anchored(space: Space, k: np.ndarray, word: np.ndarray, per_row: np.ndarray)
     return row[inside], item[inside], place[inside], place[end[inside]]
 
 
+def close(space: Space, k: np.ndarray, word: np.ndarray, per_row: np.ndarray, held, cosine: float) -> np.ndarray:
+    """Which of the ``anchored`` stretches lie in a window that is a candidate for their item (those of short items all do)."""
+    row, item, first, last = held
+    n = space.length[item]
+    good = n <= SHORT
+    own = np.flatnonzero(~good)
+    # Windows of the item's length, a quarter of it apart, that can be on a leak with this stretch.
+    step = np.maximum(1, n[own] // 4)
+    begin = np.maximum(0, last[own] - n[own] - step)
+    count = np.maximum(0, first[own] - begin) // step + 1
+    at = np.repeat(np.arange(len(own)), count)
+    start = begin[at] + ranges(np.zeros(len(own), np.int64), count) * step[at]
+    base = np.cumsum(per_row) - per_row
+    for a in range(0, len(at), 1024):
+        part = at[a : a + 1024]
+        r, i, w = row[own[part]], item[own[part]], start[a : a + 1024]
+        before = np.searchsorted(k, base[r] + w)
+        after = np.searchsorted(k, base[r] + np.minimum(w + space.length[i], per_row[r]))
+        c = np.maximum(0, after - before)
+        x = space.latent(np.repeat(np.arange(len(part)), c), space.column[word[ranges(before, c)]], len(part), space.project)
+        near = (x * space.items[i]).sum(axis=1) >= cosine * np.maximum(np.linalg.norm(x, axis=1), 1e-9)
+        good[own[part[near]]] = True
+    return good
+
+
 def stretches(space: Space, k: np.ndarray, word: np.ndarray, per_row: np.ndarray, cosine: float = COSINE):
     """(row, item, first word in the row) of each stretch to compare, of those that ``_best_share`` knows for a whole row."""
     held = anchored(space, k, word, per_row)
-    row, item, first, size = search(space, k, space.column[word], per_row, cosine)
-    first = first - (np.cumsum(per_row) - per_row)[row]
-    # A leak holds an anchored stretch: without one in reach, a close passage isn't on a leak.
-    wide = int(per_row.max(initial=0)) + 1
-    place = (held[0] * len(space.ids) + held[1]) * wide + held[2]
-    own = (row * len(space.ids) + item) * wide
-    reach = space.span[item]
-    near = np.searchsorted(place, own + np.minimum(first + size + reach, wide - 1)) > np.searchsorted(place, own + np.maximum(first - reach, 0))
-    row, item, first, size = (x[near] for x in (row, item, first, size))
-    # Any stretch that touches a close passage, and those that hold all of an anchored one.
-    near = row, item, first - space.span[item] + 1, first + size - 1
-    row, item, first, last = held
-    row, item, low, high = (np.concatenate(x) for x in zip(near, (row, item, last - space.span[item] + 1, first)))
+    good = close(space, k, word, per_row, held, cosine)
+    row, item, first, last = (x[good] for x in held)
+    low, high = last - space.span[item] + 1, first
     step = space.step[item]
     low = -(-np.maximum(low, 0) // step)
     high = np.minimum(high, np.maximum(1, per_row[row] - space.span[item] + step) - 1) // step
