@@ -1,9 +1,10 @@
 """GeoParquet sink: a Python data source that writes the ``geo`` key to each file's footer.
 
     spark.dataSource.register(GeoParquetSource)
-    features.write.format("geoparquet").mode("overwrite").save(path)
+    features.write.format("geoparquet").mode("overwrite").save("file:///data/out")
 
-The files are ordinary Parquet and are read with ``spark.read.parquet``.
+The files are ordinary Parquet and are read with ``spark.read.parquet``. The path
+names a store that all executors reach, by its scheme.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class _Writer(DataSourceArrowWriter):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex
 
     def _store(self):
-        return pyarrow.fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        return pyarrow.fs.FileSystem.from_uri(self.path)
 
     def write(self, iterator):
         store, root = self._store()
@@ -49,18 +50,24 @@ class _Writer(DataSourceArrowWriter):
     def commit(self, messages):
         store, root = self._store()
         own = {m.name for m in messages if m is not None and m.name}
-        if self.overwrite:
-            for info in store.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
-                if info.is_file and info.base_name.lstrip(".") not in own:
-                    store.delete_file(info.path)
-        for name in own:  # a file shows under its name only now
+        old = [i for i in store.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)) if i.is_file] if self.overwrite else []
+        for name in sorted(own):  # a file shows under its name only now
             store.move(f"{root}/.{name}", f"{root}/{name}")
+        # The new files are there before any old one goes.
+        for info in old:
+            if info.base_name.lstrip(".") not in own:
+                store.delete_file(info.path)
+        self._clear(store, root)
 
     def abort(self, messages):
         store, root = self._store()
-        for m in messages:
-            if m is not None and m.name:
-                store.delete_file(f"{root}/.{m.name}")
+        self._clear(store, root)
+
+    def _clear(self, store, root) -> None:
+        """Hidden files of this job: those of tasks that failed or ran twice."""
+        for info in store.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True)):
+            if info.is_file and info.base_name.startswith(f".part-{self.job}-"):
+                store.delete_file(info.path)
 
 
 class GeoParquetSource(DataSource):
@@ -72,4 +79,7 @@ class GeoParquetSource(DataSource):
         return "geometry binary, value double"
 
     def writer(self, schema, overwrite: bool):
-        return _Writer(self.options["path"], overwrite)
+        path = self.options["path"]
+        if "://" not in path:
+            raise ValueError("the path needs a scheme (file:// for a local folder): executors don't share local folders")
+        return _Writer(path, overwrite)

@@ -197,7 +197,12 @@ def test_geoparquet_footer(spark, tmp_path):
 
     spark.dataSource.register(GeoParquetSource)
     px, w = table(spark, [[1, 2], [1, 2]], dtype=np.uint8)
-    with_wkb(polygonize(px, w)).select("geometry", "value").write.format("geoparquet").mode("overwrite").save(str(tmp_path / "out"))
+    out = with_wkb(polygonize(px, w)).select("geometry", "value").write.format("geoparquet").mode("overwrite")
+    with pytest.raises(Exception, match="scheme"):
+        out.save(str(tmp_path / "out"))
+    for _ in range(2):  # the second run replaces the first one's files
+        out.save(f"file://{tmp_path}/out")
+    assert not [f for f in os.listdir(tmp_path / "out") if f.startswith(".part")]
     files = [f for f in os.listdir(tmp_path / "out") if f.startswith("part-")]
     meta = pq.read_schema(tmp_path / "out" / files[0]).metadata
     assert json.loads(meta[b"geo"])["primary_column"] == "geometry"
