@@ -23,7 +23,7 @@ TOP, RIGHT, BOTTOM, LEFT = 1, 2, 4, 8
 _STEPS = {"e": (0, 1), "s": (1, 0), "se": (1, 1), "sw": (1, -1)}
 
 
-def _framed(pixels: DataFrame, tile: int) -> DataFrame:
+def framed(pixels: DataFrame, tile: int) -> DataFrame:
     """Each pixel in its tile, and border pixels also in the frames of the tiles beside it."""
     r, c = F.col("row"), F.col("col")
     up, down = F.pmod(r, F.lit(tile)) == 0, F.pmod(r, F.lit(tile)) == tile - 1
@@ -70,6 +70,47 @@ def _label(same: dict[str, np.ndarray], inside: np.ndarray, steps: list[str]) ->
     return label.reshape(h, w)
 
 
+def tile_regions(tr: int, tc: int, found: pa.Table, width: int, tile: int, steps: list[str]) -> tuple[np.ndarray, ...]:
+    """Of each pixel of a tile: row, col, value, region (named by its first pixel in the tile), sides and onward (bits)."""
+    row, col, value = (found.column(c).to_numpy() for c in ("row", "col", "value"))
+    r0, c0 = tr * tile, tc * tile
+    own = (row >= r0) & (row < r0 + tile) & (col >= c0) & (col < c0 + tile)
+    if not own.any():
+        row = row[:0]
+    # The smallest rectangle around the tile's own pixels, and a frame.
+    lo_r, hi_r = (int(row[own].min()), int(row[own].max())) if len(row) else (0, -1)
+    lo_c, hi_c = (int(col[own].min()), int(col[own].max())) if len(row) else (0, -1)
+    h, w = hi_r - lo_r + 3, hi_c - lo_c + 3
+    grid, there = np.full((h, w), np.nan), np.zeros((h, w), bool)
+    if len(row):
+        y, x = row - lo_r + 1, col - lo_c + 1
+        near = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+        y, x = y[near], x[near]
+        grid[y, x], there[y, x] = value[near], True
+        if there.sum() != len(y):
+            raise ValueError("two pixels of a raster have the same row and col")
+    inside = np.zeros((h, w), bool)
+    inside[1:-1, 1:-1] = there[1:-1, 1:-1]
+    same = {}
+    for name, (dr, dc) in _STEPS.items():
+        out = np.zeros((h, w), bool)
+        a = (slice(0, h - dr), slice(max(0, -dc), w - max(0, dc)))
+        b = (slice(dr, h), slice(max(0, dc), w - max(0, -dc)))
+        out[a] = (grid[a] == grid[b]) & there[a] & there[b]
+        same[name] = out
+    label = _label(same, inside, steps)
+    y, x = np.nonzero(inside)
+    sides = np.where(same["s"][y - 1, x], 0, TOP) | np.where(same["e"][y, x], 0, RIGHT) | np.where(same["s"][y, x], 0, BOTTOM) | np.where(same["e"][y, x - 1], 0, LEFT)
+    onward = np.zeros(len(y), np.int64)
+    for k, name in enumerate(steps):
+        dr, dc = _STEPS[name]
+        onward |= np.where(same[name][y, x] & ~inside[y + dr, x + dc], 1 << k, 0)
+    first = label[y, x]
+    row, col = y + lo_r - 1, x + lo_c - 1
+    region = (first // w + lo_r - 1) * width + (first % w + lo_c - 1)
+    return row, col, grid[y, x], region, sides, onward
+
+
 def local_regions(pixels: DataFrame, width: int, connectivity: int = 4, tile: int = TILE) -> DataFrame:
     """One row per pixel: raster_id, row, col, value, pos, region (in its tile), sides (bits), onward (bits across tile borders)."""
     if connectivity not in (4, 8):
@@ -78,51 +119,14 @@ def local_regions(pixels: DataFrame, width: int, connectivity: int = 4, tile: in
     steps = ["e", "s"] if connectivity == 4 else ["e", "s", "se", "sw"]
 
     def run(key, found):
-        tr, tc = key[1].as_py(), key[2].as_py()
-        row, col, value = (found.column(c).to_numpy() for c in ("row", "col", "value"))
-        r0, c0 = tr * tile, tc * tile
-        own = (row >= r0) & (row < r0 + tile) & (col >= c0) & (col < c0 + tile)
-        if not own.any():
-            row = row[:0]
-        # The smallest rectangle around the tile's own pixels, and a frame.
-        lo_r, hi_r = (int(row[own].min()), int(row[own].max())) if len(row) else (0, -1)
-        lo_c, hi_c = (int(col[own].min()), int(col[own].max())) if len(row) else (0, -1)
-        h, w = hi_r - lo_r + 3, hi_c - lo_c + 3
-        grid, there = np.full((h, w), np.nan), np.zeros((h, w), bool)
-        if len(row):
-            y, x = row - lo_r + 1, col - lo_c + 1
-            near = (y >= 0) & (y < h) & (x >= 0) & (x < w)
-            y, x = y[near], x[near]
-            grid[y, x], there[y, x] = value[near], True
-            if there.sum() != len(y):
-                raise ValueError("two pixels of a raster have the same row and col")
-        inside = np.zeros((h, w), bool)
-        inside[1:-1, 1:-1] = there[1:-1, 1:-1]
-        same = {}
-        for name, (dr, dc) in _STEPS.items():
-            out = np.zeros((h, w), bool)
-            a = (slice(0, h - dr), slice(max(0, -dc), w - max(0, dc)))
-            b = (slice(dr, h), slice(max(0, dc), w - max(0, -dc)))
-            out[a] = (grid[a] == grid[b]) & there[a] & there[b]
-            same[name] = out
-        label = _label(same, inside, steps)
-        y, x = np.nonzero(inside)
-        sides = np.where(same["s"][y - 1, x], 0, TOP) | np.where(same["e"][y, x], 0, RIGHT) | np.where(same["s"][y, x], 0, BOTTOM) | np.where(same["e"][y, x - 1], 0, LEFT)
-        onward = np.zeros(len(y), np.int64)
-        for k, name in enumerate(steps):
-            dr, dc = _STEPS[name]
-            onward |= np.where(same[name][y, x] & ~inside[y + dr, x + dc], 1 << k, 0)
-        first = label[y, x]
-        row, col = y + lo_r - 1, x + lo_c - 1
-        region = (first // w + lo_r - 1) * width + (first % w + lo_c - 1)
+        row, col, value, region, sides, onward = tile_regions(key[1].as_py(), key[2].as_py(), found, width, tile, steps)
         n = len(row)
         return pa.table(
-            [pa.array([key[0].as_py()] * n, pa.string()), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(grid[y, x]), pa.array(row * width + col), pa.array(region), pa.array(sides.astype(np.int32)), pa.array(onward.astype(np.int32))],
+            [pa.array([key[0].as_py()] * n, pa.string()), pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(value), pa.array(row * width + col), pa.array(region), pa.array(sides.astype(np.int32)), pa.array(onward.astype(np.int32))],
             names=["raster_id", "row", "col", "value", "pos", "region", "sides", "onward"],
         )
 
-    framed = _framed(pixels, tile)
-    return framed.groupBy("raster_id", "tile_r", "tile_c").applyInArrow(run, "raster_id string, row int, col int, value double, pos long, region long, sides int, onward int")
+    return framed(pixels, tile).groupBy("raster_id", "tile_r", "tile_c").applyInArrow(run, "raster_id string, row int, col int, value double, pos long, region long, sides int, onward int")
 
 
 def label_regions(pixels: DataFrame, width: int, connectivity: int = 4, tile: int = TILE) -> DataFrame:

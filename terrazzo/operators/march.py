@@ -150,7 +150,7 @@ def segments_of(row, col, tl, tr, br, bl, t: float) -> tuple[np.ndarray, ...]:
     code = np.where((tl + tr + br + bl) * 0.25 >= t, code, code + 16)
     at, k = np.nonzero(_EDGES[code, :, 0] >= 0)
     enter, leave = _EDGES[code[at], k].T
-    row, col, corner = row[at], col[at], np.stack([tl, tr, br, bl])[:, at]
+    row, col, corner = row[at].astype(np.int64), col[at].astype(np.int64), np.stack([tl, tr, br, bl])[:, at]
     # By edge (T, R, B, L): the corners that it lies between, and where it begins.
     place = np.arange(len(at))
     cut = _fractions(corner[np.array([0, 1, 3, 0])[enter], place], corner[np.array([1, 2, 2, 3])[enter], place], t)

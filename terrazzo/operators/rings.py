@@ -77,6 +77,80 @@ def _nested(points: tuple[np.ndarray, np.ndarray], per_ring: np.ndarray, per_pol
 FEATURES = f"raster_id string, region_id long, value double, n_rings int, n_points long, area double, rings {RINGS}"
 
 
+def polygons_of(raster, region, x0, y0, x1, y1, turn, pos, value, transform: Affine, simplify: bool) -> pa.Table:
+    """FEATURES of the regions whose edges these arrays hold, all edges of each."""
+    a, b, c, d, e, f = transform
+    flip = transform.determinant < 0
+    n = len(region)
+    names, rid = np.unique(raster.astype(str), return_inverse=True)
+    _, place, whose = np.unique(np.stack([rid, region]), axis=1, return_index=True, return_inverse=True)
+    whose = whose.reshape(-1)
+    wide = int(max(x0.max(), x1.max())) + 2
+    tall = int(max(y0.max(), y1.max())) + 2
+
+    def corner(x, y):
+        return (whose * tall + y) * wide + x
+
+    begin, end = corner(x0, y0), corner(x1, y1)
+    known, at = np.unique(begin, return_inverse=True)
+    slot = np.full((len(known), 4), -1, np.int64)
+    slot[at, turn] = np.arange(n)
+    goal = slot[np.searchsorted(known, end)]
+    successor = np.full(n, -1, np.int64)
+    for step in (2, 3, 0, 1):  # right turns overrule, then straight on, then left
+        found = goal[np.arange(n), (turn + step) % 4]
+        successor = np.where(found >= 0, found, successor)
+    # A ring starts at its topmost, leftmost edge to the right (exterior) or to the left (hole).
+    area2 = x0 * y1 - x1 * y0
+    ring0, _ = cycles(successor, np.arange(n))
+    _, ring = np.unique(ring0, return_inverse=True)
+    twice = np.bincount(ring, area2)
+    first_dir = np.where(twice > 0, 0, 2)[ring]
+    rank = np.where(turn == first_dir, y0 * wide + np.minimum(x0, x1), np.int64(1) << 60)
+    start, step = cycles(successor, rank)
+    order = np.lexsort((step, rank[start], (twice <= 0)[ring], whose))
+    whose_, ring_, x, y = whose[order], ring[order], x0[order].astype(float), y0[order].astype(float)
+    new = np.concatenate([[True], ring_[1:] != ring_[:-1]])
+    if simplify:
+        turn_ = turn[order]
+        firsts = np.flatnonzero(new)
+        before = np.arange(n) - 1
+        before[firsts] = np.concatenate([firsts[1:], [n]]) - 1
+        keep = (turn_ != turn_[before]) | new
+        whose_, ring_, x, y, new = whose_[keep], ring_[keep], x[keep], y[keep], new[keep]
+    firsts = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate([firsts, [len(new)]]))
+    # Close each ring with its first point.
+    take = np.arange(len(new) + len(firsts)) - np.repeat(np.arange(len(firsts)), sizes + 1)
+    ends = np.cumsum(sizes + 1) - 1
+    take[ends] = firsts
+    if flip:
+        base = np.repeat(ends - sizes, sizes + 1)
+        top = np.repeat(ends, sizes + 1)
+        take = take[base + top - np.arange(len(take))]
+    col, row = x[take], y[take]
+    px, py = a * col + b * row + c, d * col + e * row + f
+    per_ring = sizes + 1
+    regions = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], whose_[firsts][1:] != whose_[firsts][:-1]])), [len(firsts)]]))
+    lead = np.lexsort((pos, whose))
+    lead = lead[np.concatenate([[True], whose[lead][1:] != whose[lead][:-1]])]
+    count = len(place)
+    area = np.bincount(whose, area2, count) / 2 * abs(transform.determinant)
+    out = pa.table(
+        [
+            pa.array(names[rid[place]], pa.string()),
+            pa.array(region[place]),
+            pa.array(value[lead]),
+            pa.array(regions.astype(np.int32)),
+            pa.array(np.bincount(whose_[firsts], per_ring, count).astype(np.int64)),
+            pa.array(area),
+            _nested((px, py), per_ring, regions),
+        ],
+        names=["raster_id", "region_id", "value", "n_rings", "n_points", "area", "rings"],
+    )
+    return out.filter(pa.array(area >= np.finfo(float).eps)) if n else out
+
+
 def assemble(edges: DataFrame, transform: Affine = Affine(), simplify: bool = False) -> DataFrame:
     """One row per region: raster_id, region_id, value, n_rings, n_points, area, rings.
 
@@ -87,81 +161,10 @@ def assemble(edges: DataFrame, transform: Affine = Affine(), simplify: bool = Fa
     """
     spark = edges.sparkSession
     ready(spark)
-    a, b, c, d, e, f = transform
-    flip = transform.determinant < 0
-
     def run(table):
         raster = table.column("raster_id").to_numpy(zero_copy_only=False)
         region, x0, y0, x1, y1, turn, pos = (table.column(k).to_numpy().astype(np.int64) for k in ("region_id", "x0", "y0", "x1", "y1", "dir", "pos"))
-        value = table.column("value").to_numpy()
-        n = len(region)
-        names, rid = np.unique(raster.astype(str), return_inverse=True)
-        _, place, whose = np.unique(np.stack([rid, region]), axis=1, return_index=True, return_inverse=True)
-        whose = whose.reshape(-1)
-        wide = int(max(x0.max(), x1.max())) + 2
-        tall = int(max(y0.max(), y1.max())) + 2
-
-        def corner(x, y):
-            return (whose * tall + y) * wide + x
-
-        begin, end = corner(x0, y0), corner(x1, y1)
-        known, at = np.unique(begin, return_inverse=True)
-        slot = np.full((len(known), 4), -1, np.int64)
-        slot[at, turn] = np.arange(n)
-        goal = slot[np.searchsorted(known, end)]
-        successor = np.full(n, -1, np.int64)
-        for step in (2, 3, 0, 1):  # right turns overrule, then straight on, then left
-            found = goal[np.arange(n), (turn + step) % 4]
-            successor = np.where(found >= 0, found, successor)
-        # A ring starts at its topmost, leftmost edge to the right (exterior) or to the left (hole).
-        area2 = x0 * y1 - x1 * y0
-        ring0, _ = cycles(successor, np.arange(n))
-        _, ring = np.unique(ring0, return_inverse=True)
-        twice = np.bincount(ring, area2)
-        first_dir = np.where(twice > 0, 0, 2)[ring]
-        rank = np.where(turn == first_dir, y0 * wide + np.minimum(x0, x1), np.int64(1) << 60)
-        start, step = cycles(successor, rank)
-        order = np.lexsort((step, rank[start], (twice <= 0)[ring], whose))
-        whose_, ring_, x, y = whose[order], ring[order], x0[order].astype(float), y0[order].astype(float)
-        new = np.concatenate([[True], ring_[1:] != ring_[:-1]])
-        if simplify:
-            turn_ = turn[order]
-            firsts = np.flatnonzero(new)
-            before = np.arange(n) - 1
-            before[firsts] = np.concatenate([firsts[1:], [n]]) - 1
-            keep = (turn_ != turn_[before]) | new
-            whose_, ring_, x, y, new = whose_[keep], ring_[keep], x[keep], y[keep], new[keep]
-        firsts = np.flatnonzero(new)
-        sizes = np.diff(np.concatenate([firsts, [len(new)]]))
-        # Close each ring with its first point.
-        take = np.arange(len(new) + len(firsts)) - np.repeat(np.arange(len(firsts)), sizes + 1)
-        ends = np.cumsum(sizes + 1) - 1
-        take[ends] = firsts
-        if flip:
-            base = np.repeat(ends - sizes, sizes + 1)
-            top = np.repeat(ends, sizes + 1)
-            take = take[base + top - np.arange(len(take))]
-        col, row = x[take], y[take]
-        px, py = a * col + b * row + c, d * col + e * row + f
-        per_ring = sizes + 1
-        regions = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], whose_[firsts][1:] != whose_[firsts][:-1]])), [len(firsts)]]))
-        lead = np.lexsort((pos, whose))
-        lead = lead[np.concatenate([[True], whose[lead][1:] != whose[lead][:-1]])]
-        count = len(place)
-        area = np.bincount(whose, area2, count) / 2 * abs(transform.determinant)
-        out = pa.table(
-            [
-                pa.array(names[rid[place]], pa.string()),
-                pa.array(region[place]),
-                pa.array(value[lead]),
-                pa.array(regions.astype(np.int32)),
-                pa.array(np.bincount(whose_[firsts], per_ring, count).astype(np.int64)),
-                pa.array(area),
-                _nested((px, py), per_ring, regions),
-            ],
-            names=["raster_id", "region_id", "value", "n_rings", "n_points", "area", "rings"],
-        )
-        return out.filter(pa.array(area >= np.finfo(float).eps)) if n else out
+        return polygons_of(raster, region, x0, y0, x1, y1, turn, pos, table.column("value").to_numpy(), transform, simplify)
 
     groups = max(GROUPS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // PER_GROUP))
     dealt = edges.withColumn("deal", F.pmod(F.xxhash64("raster_id", "region_id"), F.lit(groups)))
