@@ -55,7 +55,8 @@ class DigestIndex:
         batch = batch or uuid.uuid4().hex
         digests = documents_of(docs).select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"))
         rows = stage(digests.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n_rows")), "digests")
-        groups = rows.groupBy("digest").agg(F.max("doc_id").alias("largest"), F.sum("n_rows").alias("group_size"))
+        # Written, or the anti-join would be moved below the sum and meet all rows of a digest in one task.
+        groups = stage(rows.groupBy("digest").agg(F.max("doc_id").alias("largest"), F.sum("n_rows").alias("group_size")), "sums")
         new = groups.join(self.rows().hint("merge"), "digest", "left_anti")
         self._append(new.select("digest", F.col("largest").alias("keep_id"), F.lit(batch).alias("batch")).repartition(self.buckets, "digest"))
         known = F.col("batch") != batch
