@@ -13,8 +13,8 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 #: Python workers give freed memory back instead of keeping it for the next task, beside which another one may run.
 WORKER_MEMORY = {"MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
-#: Bytes of an Arrow batch sent to them, unless the session says otherwise.
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: Bytes of an Arrow batch sent to them: Spark's default, and ours where it stands.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608"
 
 
 def ready(spark: SparkSession) -> None:
@@ -25,9 +25,9 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
     for name, value in WORKER_MEMORY.items():
         env.setdefault(name, value)
-    name, most = BATCH_BYTES
-    if int(spark.conf.get(name, str(1 << 62)).removesuffix("b")) > most and name not in dict(spark.sparkContext.getConf().getAll()):
-        spark.conf.set(name, str(most))
+    name, default, own = BATCH_BYTES
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, own)
 
 
 def scratch_dir(spark: SparkSession) -> str:
