@@ -12,7 +12,7 @@ PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 #: Python workers give freed memory back instead of keeping it for the next task, beside which another one may run.
-WORKER_MEMORY = {"MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+WORKER_MEMORY = {"MALLOC_TRIM_THRESHOLD_": str(2 << 20), "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Bytes of an Arrow batch sent to them: Spark's default, and ours where it stands.
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608"
 
