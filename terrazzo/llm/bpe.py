@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import documents_of, ready, slices
 
 #: Distinct pieces of text whose ids a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -234,7 +234,7 @@ def _mapped(docs: DataFrame, tokenizer_file: str, digests: bool, with_ids: bool
 
     def run(batches):
         own = encoder(spec.value)
-        for part in slices(batches, 4 << 20):
+        for part in slices(batches, 1 << 20):
             rows = [own.encode(t or "") for t in part.column(1).to_pylist()]
             if digests:
                 yield pa.RecordBatch.from_arrays(

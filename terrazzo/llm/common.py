@@ -96,17 +96,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
+#: Entries of a table that a worker keeps; a longer text has one made for it.
+KEPT = 1 << 20
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64; the table is kept and grown in steps."""
+    """base**0 ... base**(n-1) modulo 2**64; a table of up to KEPT is kept and grown in steps."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
         size = max(1 << 16, 1 << int(n - 1).bit_length()) if n else 1
-        have = np.full(size, base, np.uint64)
+        have = np.full(size if size <= KEPT else n, base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[int(base)] = have
+        if size <= KEPT:
+            _powers[int(base)] = have
     return have[:n]
 
 

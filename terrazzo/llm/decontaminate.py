@@ -138,7 +138,7 @@ class Space:
         self.singular = np.sqrt(np.maximum(s[:RANK] ** 2 - shift, 0))
         self.basis = u[:, :RANK]
         self.project = (self.idf[:, None] * self.basis).astype(np.float32)
-        items = np.array([self.project[own].sum(axis=0) for own in self.item_terms], np.float32).reshape(-1, RANK)
+        items = np.array([self.project[own].sum(axis=0) for own in self.item_terms], np.float32).reshape(-1, self.basis.shape[1])
         self.items = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
         self.anchor()
         del self.random

@@ -301,6 +301,121 @@ def test_toxicity_and_quality(spark):
     assert toxicity.score_toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_ftrl_against_plain_loops():
+    """Per-coordinate FTRL-proximal as published, one feature at a time."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 9))).encode() + (b" vile" if k % 3 == 0 else b"") for k in range(60)]
+    labels = [int(k % 3 == 0) for k in range(60)]
+    got = toxicity.train(texts, labels)
+    rows = [[(int(i), float(x)) for i, x in zip(*r)] for t in texts for r in toxicity.counts(np.frombuffer(t, np.uint8), np.array([0, len(t)]))]
+    n, z, bias = {}, {}, toxicity.FEATURES
+
+    def weight(i):
+        strength = 0.0 if i == bias else toxicity.L1
+        if abs(z.get(i, 0.0)) <= strength:
+            return 0.0
+        return ((1 if z[i] > 0 else -1) * strength - z[i]) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    draw = np.random.default_rng(3)
+    for _ in range(toxicity.PASSES):
+        for k in draw.permutation(len(rows)):
+            x = [*rows[k], (bias, 1.0)]
+            own = {i: weight(i) for i, _ in x}
+            p = 1 / (1 + np.exp(-sum(own[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - labels[k]) * v
+                step = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - step * own[i]
+                n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in n if i != bias and weight(i)}
+    assert want and dict(zip(got.numbers.tolist(), got.values)) == pytest.approx(want) and got.bias == pytest.approx(weight(bias))
+    # Scores from the sparse weights equal a plain sum over the features of a text.
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    plain = [1 / (1 + np.exp(-(got.bias + sum(want.get(i, 0.0) * v for i, v in r)))) for r in rows]
+    assert toxicity.scores(got.dense(), got.bias, data, offsets) == pytest.approx(plain)
+
+
+def test_ordinal_against_plain_loops():
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randint(0, 30)).encode() for _ in range(40)] + [b"", b"a", b"ab ab ab"]
+    model = quality.Ordinal([0, 1, 3], np.random.default_rng(1).normal(size=quality.FEATURES + 1), np.array([-0.3, 0.8]))
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = model.scores(data, offsets)
+    for k, t in enumerate(texts):
+        numbers, sizes = quality.trigrams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert len(numbers) == max(0, len(t) - 2) == sizes[0]
+        w = t.split()
+        again = sum(x == y for x, y in zip(w, w[1:])) / max(1, len(w))
+        plain = quality.SCALE * (sum(model.weights[i] for i in numbers) / max(1, len(numbers)) + model.weights[-1] * again)
+        assert got[k] == pytest.approx(plain)
+    low = 1 / (1 + np.exp(-(model.thresholds - got[0])))
+    assert model.at_most(got[:1])[0] == pytest.approx(low)
+
+
+def test_network_against_plain_loops():
+    """Gates of one unit after the other, byte by byte, and the mean over the positions of a text longer than a segment."""
+    net = language.Network(["a", "b", "c"], seed=1)
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 5, 64, 65, 200)] + ["é ñ".encode(), b""]
+    soft = lambda v: v / (1 + np.abs(v))
+
+    def states(d, part):
+        h, out = np.zeros(language.UNITS), {}
+        for t in range(len(part)) if d == "f" else range(language.SEGMENT - 1, -1, -1):
+            b = part[t] if t < len(part) else 0
+            z = (soft(h @ net.p[f"{d}Uz"] + net.p[f"{d}Ez"][b]) + 1) / 2
+            r = (soft(h @ net.p[f"{d}Ur"] + net.p[f"{d}Er"][b]) + 1) / 2
+            c = soft((r * h) @ net.p[f"{d}Uc"] + net.p[f"{d}Ec"][b])
+            h = h + z * (c - h)
+            out[t] = h
+        return out
+
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = language.document_probabilities(net, data, offsets)
+    for k, text in enumerate(texts):
+        total = np.zeros(3)
+        for s in range(0, len(text), language.SEGMENT):
+            part = text[s : s + language.SEGMENT]
+            f, b = states("f", part), states("b", part)
+            for t in range(len(part)):
+                e = np.exp(f[t] @ net.p["fV"] + b[t] @ net.p["bV"] + net.p["bias"])
+                total += e / e.sum()
+        assert got[k] == pytest.approx(total / max(1, len(text)), abs=1e-4)
+
+
+def test_repeated_and_long_rows_are_judged_alike(spark, corpus):
+    """Rows that repeat get the same answer, and a text longer than a worker's piece the same as in one piece."""
+    rng = random.Random(12)
+    docs, labels, _ = labelled(spark, rng, 120)
+    long = prose(rng, 280_000)
+    assert len(long) > 2 << 20
+    more = frame(spark, [(1000, long), (1000, long), (1001, None), (1001, None), (1002, "vile"), (1002, "vile"), (None, ""), (None, "")])
+    for found in (
+        toxicity.score_toxicity(docs.unionByName(more), labels),
+        quality.rate_quality(docs.unionByName(more), quality.grades_of(labels)),
+        language.identify(docs.unionByName(more).withColumn("lang", F.lit("aa"))),
+        bpe.encode_digests(more, tokenizer_path()),
+        decontaminate.contamination(more, spark.createDataFrame([(1, long[100_000:100_300]), (1, long[100_000:100_300]), (2, None), (None, "x y z a b c")], "item_id long, text string")),
+    ):
+        rows = [tuple(r) for r in found.where("doc_id >= 1000 OR doc_id IS NULL").collect()]
+        assert len(rows) == 8 and len(set(rows)) == 4, found.columns
+        if "contaminated" in found.columns:
+            assert {r[0] for r in rows if r[1]} == {1000}
+
+
+def test_long_texts_in_pieces(spark):
+    """One text of several pieces beside short ones that share its passages, against brute force."""
+    rng = random.Random(14)
+    long = prose(rng, 130_000)
+    w = long.split()
+    docs = [(1, " ".join(w[70_000:70_060])), (2, long), (3, " ".join(w[100:160]) + " end"), (4, " ".join(w[-40:]))]
+    assert len(long) > 1 << 20
+    assert by_id(substring_dedup.remove_repeated_windows(frame(spark, docs))) == brute.word_windows(docs)
+    assert by_id(suffix_dedup.remove_repeated_strings(frame(spark, docs))) == brute.byte_strings(docs)
+    near = [*docs, (5, long + " more")]
+    assert by_id(jaccard_join.near_duplicates(frame(spark, near))) == brute.jaccard_components(near)
+
+
 def test_ordinal_thresholds_stay_in_order():
     rng = random.Random(2)
     texts = [("a" * k + "b" * (40 - k)).encode() for k in range(41)] * 6
