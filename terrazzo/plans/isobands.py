@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -314,6 +315,48 @@ def _polygons(affine: Affine):
     return run
 
 
+def bands_of_tile(found: pa.Table, width: int, height: int, thresholds: list[float]) -> pa.Table | None:
+    """Polygons of a tile (row, col, value of its known samples) that is a raster of its own, with the functions that ``isobands`` runs on many tasks."""
+    pairs = bands(thresholds) if min(width, height) >= 2 else []
+    if not pairs or not len(found):
+        return None
+    levels = np.array(sorted({t for _, lo, hi in pairs for t in (lo, hi)}))
+    found = found.filter(pa.compute.invert(pa.compute.is_nan(found.column("value"))))
+    cells = march.tile_cells(0, 0, found, width, height, max(width, height) + 1)
+    own = [march.segments_of(*cells, t) for t in levels.tolist()]
+    row, col, k, x0, y0, enters, leaves = (np.concatenate(v) for v in zip(*own))
+    which = np.repeat(np.arange(len(levels)), [len(v[0]) for v in own])
+    lines = _chained("t", which, levels, ((row + 1) * (width + 2) + col + 1) * 2 + k, x0, y0, enters, leaves)
+    lines = lines.filter(lines.column("closed")).combine_chunks()
+    out = []
+    for band, lo, hi in pairs:
+        level, area = lines.column("threshold").to_numpy(), lines.column("area").to_numpy()
+        big = np.abs(area) >= EPS
+        outer = np.flatnonzero((level == lo) & (area < 0) & big)
+        hole = np.flatnonzero(((level == lo) & (area >= 0) | (level == hi) & (area < 0)) & big)
+        key = 2 * lines.column("ring_id").to_numpy() + (level == hi)
+        if not len(outer):
+            continue
+        owner = np.full(len(hole), key[outer[0]] if len(outer) == 1 else -1)
+        if len(outer) > 1 and len(hole):
+            rings = lines.column("ring").take(pa.array(outer)).combine_chunks()
+            batch = pa.RecordBatch.from_arrays([pa.array(["t"] * len(outer)), pa.array(np.full(len(outer), band), pa.int32()), pa.array(key[outer]), pa.array(np.abs(area[outer])), rings], ["raster_id", "band_idx", "key", "size", "ring"])
+            start = [r[0] for r in lines.column("ring").take(pa.array(hole)).to_pylist()]
+            points = pa.table({"key": key[hole], "size": np.abs(area[hole]), "px": [p["x"] for p in start], "py": [p["y"] for p in start]})
+            # All strips at once: an exterior's steps are one row again.
+            steps = pa.Table.from_batches(list(_steps_by_strip([batch])))
+            for strip in np.unique(steps.column("strip").to_numpy()).tolist():
+                inside = np.floor(points.column("py").to_numpy() / STRIP) == strip
+                chosen = _around(False)((pa.scalar("t"), pa.scalar(band)), steps.filter(pa.compute.equal(steps.column("strip"), strip)), points.filter(pa.array(inside)))
+                for h, e in zip(chosen.column("key").to_pylist(), chosen.column("exterior").to_pylist()):
+                    owner[key[hole] == h] = e
+        at = np.concatenate([outer, hole[owner >= 0]])
+        exterior = np.concatenate([key[outer], owner[owner >= 0]])
+        parts = pa.table([pa.array(["t"] * len(at)), pa.array(np.full(len(at), band)), pa.array(np.full(len(at), lo)), pa.array(key[at]), pa.array(exterior), pa.array(area[at]), lines.column("ring").take(pa.array(at))], names=["raster_id", "band_idx", "lo", "key", "exterior", "area", "ring"])
+        out.append(_polygons(as_affine(None))(None, parts))
+    return pa.concat_tables(out) if out else None
+
+
 def isobands(pixels: DataFrame, width: int, height: int, thresholds: list[float], transform: object = None, strict: bool = False, tile: int = TILE) -> DataFrame:
     """One row per polygon of a band: raster_id, feature_id, value (the lower threshold), n_rings, n_points, area, rings.
 

@@ -71,6 +71,16 @@ def _tile_polygons(width: int, tile: int, transform: Affine, simplify: bool):
     return run
 
 
+def polygons_of_tile(found: pa.Table, width: int, tile: int, transform: Affine) -> pa.Table | None:
+    """FEATURES of a tile (row, col, value of its known pixels) that is a raster of its own; ``tile`` is at least its longer side."""
+    row, col, value, region, sides, _ = tile_regions(0, 0, found, width, tile, ["e", "s"])
+    if not len(row):
+        return None
+    pixel, turn = np.nonzero((sides[:, None] >> np.arange(4)) & 1)
+    x0, y0 = col[pixel] + BEGIN[turn, 0], row[pixel] + BEGIN[turn, 1]
+    return polygons_of(np.full(len(pixel), "t"), region[pixel], x0, y0, x0 + STEP[turn, 0], y0 + STEP[turn, 1], turn, (row * width + col)[pixel], value[pixel], transform, False)
+
+
 def _crossing(parts: DataFrame, transform: Affine, simplify: bool) -> DataFrame:
     """Polygons of the regions that go on over tile borders."""
     links = parts.select("raster_id", "region_id", F.explode(F.arrays_zip("border", "meets")).alias("at")).select("raster_id", "region_id", "at.border", "at.meets")

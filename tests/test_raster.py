@@ -218,6 +218,28 @@ def test_sql_function(spark):
     assert spark.sql("SELECT octet_length(wkb_polygon(rings)) AS n FROM polygons").first().n == 93
 
 
+def test_sql_tile_functions(spark):
+    from terrazzo.functions.sql import register
+
+    register(spark)
+    rng = np.random.default_rng(8)
+    classes, surface = rng.integers(0, 3, (9, 12)).astype(float), rng.random((9, 12))
+    rows = []
+    for name, grid_ in (("c", classes), ("s", surface)):
+        data = grid_.reshape(-1).tolist()
+        data[17] = None
+        rows.append((name, data, 12))
+    spark.createDataFrame(rows, "id string, data array<double>, w int").createOrReplaceTempView("some_tiles")
+    px = {n: spark.createDataFrame([("r", k // 12, k % 12, v) for k, v in enumerate(d) if v is not None], "raster_id string, row int, col int, value double") for n, d, _ in rows}
+    got = spark.sql("SELECT p.* FROM some_tiles t, LATERAL polygonize_tile(t.data, t.w, 0, 0) p WHERE t.id = 'c'").collect()
+    want = with_wkb(polygonize(px["c"], 12)).collect()
+    assert sorted((r.value, bytes(r.geometry)) for r in got) == sorted((r.value, bytes(r.geometry)) for r in want)
+    got = spark.sql("SELECT p.* FROM some_tiles t, LATERAL isobands_tile(t.data, t.w, array(0.2D, 0.5D, 0.8D)) p WHERE t.id = 's'").collect()
+    want = with_wkb(isobands(px["s"], 12, 9, [0.2, 0.5, 0.8])).collect()
+    assert len(want) > 2 and sorted((r.value, bytes(r.geometry)) for r in got) == sorted((r.value, bytes(r.geometry)) for r in want)
+    assert spark.sql("SELECT p.* FROM some_tiles t, LATERAL isobands_tile(t.data, t.w, array(0.2D)) p").count() == 0
+
+
 def test_stream_of_tiles(spark, tmp_path):
     from terrazzo.streaming.tiles import polygonize_stream
 
