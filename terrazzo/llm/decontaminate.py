@@ -41,7 +41,7 @@ ALONE, WITH_ANSWER = 0.75, 0.55
 ANSWER_WORDS = 6
 #: Items that are looked for together; their words fall into at most COLUMNS columns.
 ITEMS, COLUMNS = 1024, 1 << 14
-#: Items of fewer words say too little to be looked for.
+#: Items of fewer words say too little inside a longer text: they are found in texts that have no other words.
 LEAST_WORDS = 5
 PIECE = 256 << 10
 
@@ -49,7 +49,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
     _FOLD[_c] = 0x20
-_WORD = re.compile(r"[^\s!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+")
+_WORD = re.compile(r"[^\s!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+", re.ASCII)
 
 
 def terms(data: np.ndarray, offsets: np.ndarray):
@@ -94,6 +94,10 @@ class Space:
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.words = [cut_words(t) for t in texts]
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for i, w in zip(ids, self.words):
+            if 0 < len(w) < LEAST_WORDS:
+                self.short.setdefault(tuple(w), []).append(i)
         keep = [k for k, w in enumerate(self.words) if len(w) >= LEAST_WORDS]
         self.ids, self.words, texts = [ids[k] for k in keep], [self.words[k] for k in keep], [texts[k] for k in keep]
         data, offsets = utf8(pa.array(texts, pa.string()))
@@ -289,19 +293,29 @@ def stretches(space: Space, k: np.ndarray, word: np.ndarray, per_row: np.ndarray
 def leaks(space: Space, data: np.ndarray, offsets: np.ndarray, cosine: float = COSINE) -> dict[int, list[tuple[int, float]]]:
     """By row, the items found in it and how much of each is there."""
     starts, ends, h, per_row = terms(data, offsets)
-    row, item, at = stretches(space, *space.known(h), per_row, cosine)
     own_first = np.cumsum(per_row) - per_row
     text = _FOLD[data]
+    out: dict[int, list[tuple[int, float]]] = {}
+
+    def words_of(r: int) -> list[str]:
+        own = slice(own_first[r], own_first[r] + per_row[r])
+        return [text[s:e].tobytes().decode() for s, e in zip(starts[own].tolist(), ends[own].tolist())]
+
+    if space.short:
+        for r in np.flatnonzero((per_row > 0) & (per_row < LEAST_WORDS)).tolist():
+            if same := space.short.get(tuple(words_of(r))):
+                out[r] = [(i, 1.0) for i in same]
+    if not space.ids:
+        return out
+    row, item, at = stretches(space, *space.known(h), per_row, cosine)
     cache: dict[int, list[str]] = {}
     best: dict[tuple[int, int], float] = {}
     for r, i, a in zip(row.tolist(), item.tolist(), at.tolist()):
         if r not in cache:
-            own = slice(own_first[r], own_first[r] + per_row[r])
-            cache = {r: [text[s:e].tobytes().decode() for s, e in zip(starts[own].tolist(), ends[own].tolist())]}
+            cache = {r: words_of(r)}
         share = _share(space.words[i], cache[r][a : a + int(space.span[i])])
         if share:
             best[r, i] = max(best.get((r, i), 0.0), share)
-    out: dict[int, list[tuple[int, float]]] = {}
     for (r, i), share in best.items():
         out.setdefault(r, []).append((space.ids[i], share))
     return out
@@ -336,8 +350,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = False) ->
     with ``whole`` a struct column ``row`` of all columns of ``docs`` too.
 
     ``benchmark`` (item_id, text) is read in blocks of ITEMS, so that what every
-    task holds is bounded. Items of fewer than LEAST_WORDS words, or without text,
-    are not looked for; texts that are null or empty are clean; repeated rows are
+    task holds is bounded. Items of fewer than LEAST_WORDS words are
+    found in texts that have just their words, those without a word in none; texts that are null or empty are clean; repeated rows are
     each returned; an empty table gives no rows and an empty benchmark finds nothing.
     """
     spark = docs.sparkSession
@@ -350,7 +364,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, whole: bool = False) ->
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         space = Space(own.column("item_id").to_pylist(), own.column("text").to_pylist())
         if space.ids:
-            spaces.append(spark.sparkContext.broadcast(fit(rows, space)))
+            fit(rows, space)
+        if space.ids or space.short:
+            spaces.append(spark.sparkContext.broadcast(space))
 
     def run(batches):
         for part in slices(batches, PIECE):

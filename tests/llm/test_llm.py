@@ -543,6 +543,19 @@ def test_short_items_in_any_place_are_found(spark):
     assert all(n for i, n in want if i < 5000) and any(not n for i, n in want)
 
 
+def test_items_of_a_few_words_and_with_other_blanks(spark):
+    rng = random.Random(30)
+    wide = [(k, "".join(w + rng.choice([" ", "\u00a0", "\u00a0 ", "\u2003", "\x1c"]) for w in prose(rng, rng.randint(12, 30)).split())) for k in range(8)]
+    items = [*wide, (50, "Too short!"), (51, "too short"), (52, "one"), (53, "..."), (54, ""), (55, "a b c d")]
+    docs = [(k, f"{prose(rng, 60)} {w} {prose(rng, 30)}") for k, w in wide]
+    docs += [(100, "too SHORT"), (101, "it is too short"), (102, "One."), (103, "..."), (104, ""), (105, None), (106, "a b c d e"), (107, "a-b-c\td"), (107, "a-b-c\td"), (108, prose(rng, 90))]
+    got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {**{k: (1, k) for k, _ in wide}, 100: (2, 50), 102: (1, 52), 107: (1, 55)}
+    assert sorted((r.doc_id, r.n_items, r.item_id or 0, r.share) for r in got) == sorted((i, *want.get(i, (0, 0)), float(i in want)) for i, _ in docs)
+    few = spark.createDataFrame(items[8:], "item_id long, text string")  # no item for the latent space
+    assert sorted(r.doc_id for r in decontaminate.contamination(frame(spark, docs), few).where("contaminated").collect()) == [100, 102, 107, 107]
+
+
 def test_bad_rows_leave_clean_rows_of_their_id(spark):
     rng = random.Random(21)
     one, two, three, item = prose(rng, 60), prose(rng, 50), prose(rng, 40), prose(rng, 20)
