@@ -4,7 +4,7 @@ Passages of the corpus form a TF-IDF matrix over the words of the benchmark. Its
 singular vectors come from a distributed randomised decomposition: every task adds up
 A'(A W) for a fixed random W over its own passages, the sum is turned into singular
 vectors by the Nystroem formula on the driver, which only ever sees a matrix of fixed
-size. Word counts cover all of the corpus, the decomposition about FIT_PASSAGES passages.
+size. Word counts and the decomposition cover every passage of the corpus.
 
 An item is looked for among windows as long as itself. A window whose cosine with the
 item in the latent space is COSINE or more is a candidate; it is compared word by
@@ -30,8 +30,10 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from .common import documents_of, keyed, mix, ready, slices, utf8, word_hashes, words
 from .segments import ranges
 
-#: Words of a passage; rank of the latent space and random directions drawn; passages that it is fitted on.
-PASSAGE, RANK, DRAWN, FIT_PASSAGES = 32, 96, 128, 1 << 18
+#: Words of a passage; rank of the latent space and random directions drawn.
+PASSAGE, RANK, DRAWN = 32, 96, 128
+#: Passages whose vectors are held at once; rows that are added up side by side.
+BLOCK, LANES = 4096, 16
 #: Least cosine of a candidate with an item of more than SHORT words.
 COSINE, SHORT = 0.5, 12
 #: So many anchors of an item stand in every leak of it.
@@ -89,6 +91,27 @@ def common_subsequence(item: list[str], text: list[str]) -> tuple[int, int]:
     return len(item) - v.bit_count(), n - t.bit_count()
 
 
+def row_sums(rows: np.ndarray, index: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[index]`` over neighbouring runs of ``sizes`` entries; the last of ``rows`` is zero.
+
+    Runs are cut into groups of LANES whose rows are added lane by lane, and the groups' sums likewise
+    until each run has one (numpy's reduceat takes ten times as long on short runs).
+    """
+    while True:
+        groups = np.maximum(1, -(-sizes // LANES))
+        lanes = np.full((int(groups.sum()), LANES), len(rows) - 1, np.int64)
+        lanes.reshape(-1)[ranges((np.cumsum(groups) - groups) * LANES, sizes)] = index
+        out = rows[lanes[:, 0]]
+        room = np.empty_like(out)
+        for j in range(1, LANES):
+            np.take(rows, lanes[:, j], axis=0, out=room, mode="clip")
+            out += room
+        if len(out) == len(sizes):
+            return out
+        rows = np.concatenate([out, np.zeros((1, out.shape[1]), out.dtype)])
+        index, sizes = np.arange(len(out)), groups
+
+
 class Space:
     """Vocabulary, weights and latent space of a block of items."""
 
@@ -123,13 +146,9 @@ class Space:
         known, at = self.known(h)
         return known, self.column[at]
 
-    def latent(self, passage: np.ndarray, column: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
-        """Rows of A @ matrix for n passages from (ascending passage, column) pairs; ``matrix`` has the idf in it."""
-        out = np.zeros((n, matrix.shape[1]), np.float32)
-        if len(passage):
-            head = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-            out[passage[head]] = np.add.reduceat(matrix[column], head, axis=0)
-        return out
+    def weighted(self, matrix: np.ndarray) -> np.ndarray:
+        """``matrix`` with the idf in it and a row of zeros below, for ``row_sums``: its sums over the columns of a passage are a row of A @ matrix."""
+        return np.concatenate([self.idf[:, None] * matrix, np.zeros((1, matrix.shape[1]))]).astype(np.float32)
 
     def solve(self, total: np.ndarray) -> None:
         """Right singular vectors from sum = A'A W (Nystroem), and the items in their space."""
@@ -141,7 +160,7 @@ class Space:
         u, s, _ = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)
         self.singular = np.sqrt(np.maximum(s[:RANK] ** 2 - shift, 0))
         self.basis = u[:, :RANK]
-        self.project = (self.idf[:, None] * self.basis).astype(np.float32)
+        self.project = self.weighted(self.basis)
         items = np.array([self.project[own].sum(axis=0) for own in self.item_terms], np.float32).reshape(-1, self.basis.shape[1])
         self.items = items / np.maximum(np.linalg.norm(items, axis=1, keepdims=True), 1e-9)
         self.anchor()
@@ -185,7 +204,7 @@ def _parts(matrix: np.ndarray) -> pa.RecordBatch:
 
 
 def fit(docs: DataFrame, space: Space) -> Space:
-    """Occurrences of each word and number of passages in all of ``docs`` (doc_id, text), then the latent space from a share of the documents."""
+    """Occurrences of each word and number of passages in all of ``docs`` (doc_id, text), then the latent space from all of its passages."""
     context = docs.sparkSession.sparkContext
     sent = context.broadcast(space)
 
@@ -205,7 +224,7 @@ def fit(docs: DataFrame, space: Space) -> Space:
 
     def products(batches):
         own = sent.value
-        matrix = (own.idf[:, None] * own.random).astype(np.float32)
+        matrix = own.weighted(own.random)
         total = np.zeros((own.size, DRAWN))
         for part in slices(batches, PIECE):
             _, _, h, per_row = terms(*utf8(part.column(1)))
@@ -213,19 +232,19 @@ def fit(docs: DataFrame, space: Space) -> Space:
             place = np.arange(len(h)) - (np.cumsum(per_row) - per_row)[row]
             passage = np.cumsum(place % PASSAGE == 0) - 1
             k, column = own.hits(h)
-            if not len(k):
-                continue
-            y = own.latent(passage[k], column, int(passage[-1]) + 1, matrix)
-            order = np.argsort(column, kind="stable")
-            sorted_ = column[order]
-            head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-            total[sorted_[head]] += np.add.reduceat(y[passage[k][order]], head, axis=0)
+            passage = passage[k]
+            for first in range(0, int(passage[-1]) + 1 if len(k) else 0, BLOCK):
+                lo, hi = np.searchsorted(passage, [first, first + BLOCK])
+                if lo == hi:
+                    continue
+                p, c = passage[lo:hi] - first, column[lo:hi]
+                y = row_sums(matrix, c, np.bincount(p))
+                order = np.argsort(c, kind="stable")
+                seen, times = np.unique(c, return_counts=True)
+                total[seen] += row_sums(np.concatenate([y, np.zeros((1, DRAWN), np.float32)]), p[order], times)
         yield _parts(own.idf[:, None] * total)
 
-    share = min(1.0, FIT_PASSAGES / n) if n else 1.0
-    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(1 << 30))
-    chosen = docs.where(draw < F.lit(int(share * (1 << 30))))
-    total = _summed(chosen.mapInArrow(products, "part long, numbers binary"), DRAWN)
+    total = _summed(docs.mapInArrow(products, "part long, numbers binary"), DRAWN)
     space.solve(total if len(total) else np.zeros((space.size, DRAWN)))
     return space
 
@@ -265,7 +284,7 @@ def close(space: Space, k: np.ndarray, word: np.ndarray, per_row: np.ndarray, he
         before = np.searchsorted(k, base[r] + w)
         after = np.searchsorted(k, base[r] + np.minimum(w + space.length[i], per_row[r]))
         c = np.maximum(0, after - before)
-        x = space.latent(np.repeat(np.arange(len(part)), c), space.column[word[ranges(before, c)]], len(part), space.project)
+        x = row_sums(space.project, space.column[word[ranges(before, c)]], c)
         near = (x * space.items[i]).sum(axis=1) >= cosine * np.maximum(np.linalg.norm(x, axis=1), 1e-9)
         good[own[part[near]]] = True
     return good

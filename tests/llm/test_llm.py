@@ -5,6 +5,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -556,6 +557,42 @@ def test_items_of_a_few_words_and_with_other_blanks(spark):
     assert sorted(r.doc_id for r in decontaminate.contamination(frame(spark, docs), few).where("contaminated").collect()) == [100, 102, 107, 107]
 
 
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    rng = random.Random(33)
+    items = [prose(rng, 20) for _ in range(6)]
+    vocabulary = sorted({w for t in items for w in decontaminate.cut_words(t)})
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 90 if k % 50 == 0 else 9))) for k in range(400)] + ["", "of no item"]
+    times = 800  # more passages than there were in a sample
+    docs = frame(spark, list(enumerate(texts))).crossJoin(spark.range(times)).select(F.expr("doc_id + 1000 * id").alias("doc_id"), "text")
+    summed = []
+    monkeypatch.setattr(decontaminate.Space, "solve", lambda self, total: summed.append(total))
+    space = decontaminate.fit(docs, decontaminate.Space(list(range(6)), items))
+    passages = [w[a : a + 32] for w in map(decontaminate.cut_words, texts) for a in range(0, len(w), 32)]
+    assert len(passages) * times > 1 << 18
+    at = {h: c for h, c in zip(space.vocabulary.tolist(), space.column.tolist())}
+    data, offsets = common.utf8(pa.array(vocabulary))
+    column = dict(zip(vocabulary, (at[h] for h in decontaminate.terms(data, offsets)[2].tolist())))
+    counts = np.zeros((len(passages), space.size))
+    for k, p in enumerate(passages):
+        for w in p:
+            counts[k, column.get(w, 0)] += w in column
+    idf = np.log1p((1 + times * len(passages)) / (1 + times * counts.sum(axis=0)))
+    weighted = counts * idf
+    np.testing.assert_allclose(space.idf, idf)
+    np.testing.assert_allclose(summed[0], times * weighted.T @ (weighted @ space.random), rtol=1e-3, atol=1e-4 * np.abs(summed[0]).max())
+
+
+def test_row_sums():
+    rng = np.random.default_rng(34)
+    for high in (1, 3, 40, 5000):
+        sizes = rng.integers(0, high, size=30)
+        rows = np.concatenate([rng.normal(size=(50, 4)), np.zeros((1, 4))])
+        index = rng.integers(0, 50, size=int(sizes.sum()))
+        want = np.array([rows[own].sum(axis=0) for own in np.split(index, np.cumsum(sizes)[:-1])])
+        np.testing.assert_allclose(decontaminate.row_sums(rows, index, sizes), want, atol=1e-9)
+    assert decontaminate.row_sums(rows, index[:0], sizes[:0]).shape == (0, 4)
+
+
 def test_bad_rows_leave_clean_rows_of_their_id(spark):
     rng = random.Random(21)
     one, two, three, item = prose(rng, 60), prose(rng, 50), prose(rng, 40), prose(rng, 20)
